@@ -35,24 +35,20 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     """Words inside a window of `window` words that the text has twice or more."""
 
     def of(w: Column) -> Column:
-        keys = F.transform(
-            F.sequence(F.lit(1), F.size(w) - (window - 1)),
-            lambda i: F.struct(F.xxhash64(*[w[i - 1 + j] for j in range(window)]).alias("h"), i.alias("i")),
-        )
-        return F.when(F.size(w) <= window, F.lit(0)).otherwise(let(keys, covered))
+        n = F.size(w) - (window - 1)
+        keys = F.slice(w, F.lit(1), F.greatest(n, F.lit(0)))
+        for k in range(1, window):  # slices beside each other cost less than indexing word by word
+            keys = F.zip_with(keys, F.slice(w, F.lit(k + 1), F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.when(n < 2, F.lit(0)).otherwise(let(keys, covered))
 
     def covered(keys: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(keys, lambda k: k["h"])))
-        return F.when(distinct == F.size(keys), F.lit(0)).otherwise(let(F.sort_array(keys), positions))
+        placed = F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(placed, positions))
 
     def positions(s: Column) -> Column:
-        twice = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda j: ((j > 0) & (s[F.greatest(j - 1, F.lit(0))]["h"] == s[j]["h"]))
-            | ((j < F.size(s) - 1) & (s[F.least(j + 1, F.size(s) - 1)]["h"] == s[j]["h"])),
-        )
-        places = F.flatten(F.transform(twice, lambda j: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: s[j]["i"] + k)))
-        return F.size(F.array_distinct(places))
+        same = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        starts = F.array_distinct(F.flatten(F.array_compact(same)))
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[i + k for k in range(window)])))))
 
     return let(words, of).cast("long")
 
