@@ -4,13 +4,14 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 judged on the input.  Suffix arrays (gsaca: linear grouping by Lyndon prefixes) decide which strings are equal; what
 goes into them is found by anchors, exactly:
 
-  1. Anchors.  Every window of `length` bytes has as anchors the GRAM-byte strings in it with the smallest hash.  Equal
-     windows have equal anchors at equal offsets, so a repeated window is seen at an anchor that two documents share.
+  1. Anchors.  Every window of `length` bytes has as anchor the leftmost GRAM-byte string in it with the smallest hash.
+     Equal windows have equal anchors at equal offsets, so a repeated window is seen at an anchor that two documents
+     share.
   2. Shared anchors.  Anchor keys are dealt to buckets; a bucket keeps the anchors that occur in two documents or more.
-  3. Contexts.  All windows around an anchor lie in its context, the length - GRAM bytes before and after it.  Equal
-     contexts are one, with its smallest doc_id; an occurrence in a larger document goes whole.  Different contexts of
-     one anchor can share a window only if they share half of what a window has besides the anchor on the left or on
-     the right; those that share neither with any other have nothing in common and are left out.
+  3. Contexts.  The windows that have one anchor follow each other; the bytes they cover are its context.  Equal contexts
+     are one, with its smallest doc_id; an occurrence in a larger document goes whole.  Different contexts of an anchor
+     are trimmed on either side to the most that any other of them has in common there, which loses no shared window,
+     and those that become shorter than a window are left out.
   4. Suffix arrays over the remaining contexts of each bucket, a few anchors at a time: windows that are neighbours in
      the order and equal are one class, and all of it but what starts in its smallest document is removed.
 
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,27 +81,28 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and keys of the anchors of texts that stand one after another in data (ends: their ends).  In bounded
-    segments; windows never cross a text's end."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that stand one after another in data (ends: their ends): start of the first window that has
+    it, number of windows, the anchor's offset in the first, key.  In bounded segments; windows never cross a text's
+    end.  (Runs that a segment cuts are two.)"""
     width, step = length - gram + 1, 1 << 19
-    places, keys = [], []
+    low20 = np.uint64(0xFFFFF)
+    out = []
     for at in range(0, max(len(data) - length + 1, 0), step):
         part = data[at : at + step + length - 1]  # all windows that start in [at, at + step)
-        h = gram_hashes(part, gram) | np.uint64(1)
-        low = _sliding(h, width, np.minimum)
+        h = gram_hashes(part, gram)
+        low = _sliding((h & ~low20) | np.arange(len(h), dtype=np.uint64), width, np.minimum)  # hash, then place
+        chosen = (low & low20).astype(np.int64)
         for e in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(part), "left")].tolist():
-            low[max(0, e - at - length + 1) : max(0, e - at)] = 0  # these windows cross the end e
-        # A gram is an anchor if it equals the minimum of one of the windows around it.
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-        chosen = np.flatnonzero(_sliding(padded, width, np.maximum) == h)
-        places.append(chosen + at)
-        keys.append(h[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, k = np.concatenate(places), np.concatenate(keys)
-    p, first = np.unique(p, return_index=True)
-    return p, k[first]
+            chosen[max(0, e - at - length + 1) : max(0, e - at)] = -1  # these windows cross the end e
+        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        n = np.diff([*first, len(chosen)])
+        ok = chosen[first] >= 0
+        first, n = first[ok], n[ok]
+        out.append((first + at, n, chosen[first] - first, h[chosen[first]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 # Packed arrays: name, type and content of each, compressed together.
@@ -150,7 +153,8 @@ def _find_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, data, offsets = _texts(batch)
-            p, k = anchors(data, offsets[1:])
+            p, windows, gram, k = anchors(data, offsets[1:])
+            shape = (windows * 64 + gram).astype(np.uint16)
             of = np.searchsorted(offsets, p, "right") - 1
             place = (p - offsets[of]).astype(np.int64)
             bucket = (k >> np.uint64(16)) % np.uint64(buckets)
@@ -158,7 +162,7 @@ def _find_anchors(buckets: int):
             for b, at in _split(bucket.astype(np.int64)):
                 own, n = np.unique(of[at], return_counts=True)  # `at` keeps the order of documents
                 key = k[at]
-                rows.append((b, _pack(lo=key.astype(np.uint32), hi=(key >> np.uint64(32)).astype(np.uint16), doc=doc[own], n=n.astype(np.uint32), at=place[at].astype(np.uint32 if place.max() < 2**32 else np.uint64))))
+                rows.append((b, _pack(lo=key.astype(np.uint32), hi=(key >> np.uint64(32)).astype(np.uint16), doc=doc[own], n=n.astype(np.uint32), at=place[at].astype(np.uint32 if place.max() < 2**32 else np.uint64), shape=shape[at])))
             yield _batch(rows)
 
     return run
@@ -171,16 +175,16 @@ def _shared_anchors(buckets: int, hot: int):
         parts = [_unpack(x) for x in t["blob"].to_pylist()]
         key = np.concatenate([x["lo"].astype(np.uint64) | (x["hi"].astype(np.uint64) << np.uint64(32)) for x in parts])
         doc = np.concatenate([np.repeat(x["doc"], x["n"]) for x in parts])
-        at = np.concatenate([x["at"].astype(np.int64) for x in parts])
+        at, shape = (np.concatenate([x[c].astype(np.int64) for x in parts]) for c in ("at", "shape"))
         order = np.argsort(key, kind="stable")
-        key, doc, at = key[order], doc[order], at[order]
+        key, doc, at, shape = key[order], doc[order], at[order], shape[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff([*starts, len(key)])
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         keep = np.repeat(several, n)
         frequent = np.repeat(n > hot, n)[keep]
-        doc, at = doc[keep], at[keep]
-        return pa.Table.from_batches([_batch([(b, _pack(doc=doc[i], at=at[i], hot=frequent[i])) for b, i in _split(_doc_bucket(doc, buckets))], 1)])
+        doc, at, shape = doc[keep], at[keep], shape[keep].astype(np.uint16)
+        return pa.Table.from_batches([_batch([(b, _pack(doc=doc[i], at=at[i], shape=shape[i], hot=frequent[i])) for b, i in _split(_doc_bucket(doc, buckets))], 1)])
 
     return run
 
@@ -227,7 +231,7 @@ def _digest(text: bytes) -> int:
 
 def _contexts(buckets: int):
     """Contexts of the shared anchors of documents that are no copies, packed for the anchors' buckets."""
-    side = LENGTH - GRAM
+    h = xxhash.xxh64_intdigest
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
@@ -237,20 +241,19 @@ def _contexts(buckets: int):
             found = have.of(doc)
             if not found or not len(found["at"]) or have.is_copy(k):
                 continue
-            raw = np.frombuffer(have.text[k], np.uint8)
-            at = np.unique(found["at"])
-            at = at[at + GRAM <= len(raw)]  # rows that share a doc_id share this list
-            hot = np.isin(at, found["at"][found["hot"]])
-            keys = np.array([hashlib.blake2b(have.text[k][p : p + GRAM], digest_size=8).digest() for p in at.tolist()], "S8").view("<u8") if len(at) else np.zeros(0, np.uint64)
-            for p, h, frequent in zip(at.tolist(), keys.tolist(), hot.tolist(), strict=True):
-                a, b = max(0, p - side), min(len(raw), p + GRAM + side)
-                if not frequent:
-                    out["key"].append(h), out["doc"].append(doc), out["from"].append(a), out["n"].append(b - a), out["gram"].append(p - a)
-                    texts.append(have.text[k][a:b])
+            text = have.text[k]
+            for p, shape, hot in zip(found["at"].tolist(), found["shape"].tolist(), found["hot"].tolist(), strict=True):
+                windows, gram = divmod(shape, 64)
+                b = p + windows + LENGTH - 1
+                if b > len(text):  # of another row with this doc_id
+                    continue
+                if not hot:
+                    out["key"].append(h(text[p + gram : p + gram + GRAM])), out["doc"].append(doc), out["from"].append(p), out["n"].append(b - p), out["gram"].append(gram)
+                    texts.append(text[p:b])
                 else:  # each window on its own; its content names the bucket
-                    for s in range(a, b - LENGTH + 1):
-                        w = have.text[k][s : s + LENGTH]
-                        out["key"].append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")), out["doc"].append(doc), out["from"].append(s), out["n"].append(LENGTH), out["gram"].append(0)
+                    for x in range(p, p + windows):
+                        w = text[x : x + LENGTH]
+                        out["key"].append(h(w)), out["doc"].append(doc), out["from"].append(x), out["n"].append(LENGTH), out["gram"].append(0)
                         texts.append(w)
         k = np.array(out["key"], np.uint64)
         doc, start = np.array(out["doc"], np.int64), np.array(out["from"], np.int64)
@@ -307,9 +310,37 @@ def _runs_by(label: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.
     return label[np.concatenate([[0], cuts])].tolist(), np.split(values, cuts)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # equal up to lo, not up to hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
+    return lo
+
+
+def _most_common(sides: list[bytes]) -> list[int]:
+    """For each string the longest beginning that it has in common with any other: with a neighbour in sorted order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for x, y in zip(order, order[1:]):
+        n = _common(sides[x], sides[y])
+        out[x], out[y] = max(out[x], n), max(out[y], n)
+    return out
+
+
+def trimmed(contents: list[tuple[bytes, int]], gram: int = GRAM) -> list[tuple[int, int]]:
+    """Per context (text, offset of its anchor) the part [a, b) outside of which no window is shared with another."""
+    left = _most_common([t[:g][::-1] for t, g in contents])
+    right = _most_common([t[g + gram :] for t, g in contents])
+    return [(g - x, g + gram + y) for (_, g), x, y in zip(contents, left, right, strict=True)]
+
+
 def _resolve(buckets: int):
     """Byte ranges that go, packed for the documents' buckets."""
-    half = (LENGTH - GRAM) // 2
 
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(x) for x in t["blob"].to_pylist()]
@@ -319,9 +350,9 @@ def _resolve(buckets: int):
         begins = ends - n
         order = np.lexsort((doc, key))
         docs, begin_l, end_l, gram_l = doc.tolist(), begins.tolist(), ends.tolist(), gram.tolist()
-        # Group by anchor, then by content.
         ranges: list[tuple[int, int, int]] = []  # (occurrence, from, to) in bytes of its context
-        waiting: list[tuple[list[tuple[bytes, int]], list[list[int]]]] = []
+        # Groups of contexts for one suffix array: (text, smallest document) and where each text comes from.
+        waiting: list[tuple[list[tuple[bytes, int]], list[list[tuple[int, int]]]]] = []
         held = 0
 
         def settle() -> None:
@@ -329,7 +360,7 @@ def _resolve(buckets: int):
             if waiting:
                 for (_, members), found in zip(waiting, removed_ranges([g for g, _ in waiting]), strict=True):
                     for rows, spans in zip(members, found, strict=True):
-                        ranges.extend((r, a, b + LENGTH - 1) for r in rows for a, b in spans)
+                        ranges.extend((r, at + a, at + b + LENGTH - 1) for r, at in rows for a, b in spans)
             waiting, held = [], 0
 
         sorted_key = key[order]
@@ -342,22 +373,20 @@ def _resolve(buckets: int):
                 least = docs[same[0]]
                 ranges.extend((r, 0, end_l[r] - begin_l[r]) for r in same if docs[r] > least)
             if len(contents) > 1:
-                left: dict[bytes, int] = {}
-                right: dict[bytes, int] = {}
-                for text, g in contents:
-                    if g >= half:
-                        x = text[g - half : g]
-                        left[x] = left.get(x, 0) + 1
-                    x = text[g + GRAM : g + GRAM + half]
-                    if len(x) == half:
-                        right[x] = right.get(x, 0) + 1
-                group, members = [], []
-                for (text, g), same in contents.items():
-                    if (g >= half and left[text[g - half : g]] > 1) or right.get(text[g + GRAM : g + GRAM + half], 0) > 1:
+                trim: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+                for ((text, g), same), (a, b) in zip(contents.items(), trimmed(list(contents)), strict=True):
+                    if b - a >= LENGTH:
                         least = docs[same[0]]
+                        trim.setdefault((text[a:b], g - a), []).extend((r, a) for r in same if docs[r] == least)
+                for (text, _), same in trim.items():
+                    least = min(docs[r] for r, _ in same)
+                    ranges.extend((r, a, a + len(text)) for r, a in same if docs[r] > least)
+                if len(trim) > 1:
+                    group, members = [], []
+                    for (text, _), same in trim.items():
+                        least = min(docs[r] for r, _ in same)
                         group.append((text, least))
-                        members.append([r for r in same if docs[r] == least])
-                if len(group) > 1:
+                        members.append([x for x in same if docs[x[0]] == least])
                     waiting.append((group, members))
                     held += sum(len(x) for x, _ in group)
                     if held >= CHUNK:
