@@ -422,9 +422,9 @@ def _finish(length: int, text_too: bool):
                 keep.append(raw[at:a])
                 at = b
             rest = b"".join([*keep, raw[at:]])
-            for to, x in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest if text_too else None), strict=True):
+            for to, x in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if text_too else None), strict=True):
                 to.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
@@ -434,7 +434,8 @@ PACKED = "b int, kind int, blob binary"
 
 
 def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans long, kept_sha256 string, kept binary (the remaining bytes, if asked for) of
+    """doc_id, n_bytes, n_removed, n_spans long, kept_sha256 string, kept string (the remaining bytes as text, if
+    asked for; bytes of characters that were cut are left out) of
     every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     importable(spark)
@@ -467,7 +468,7 @@ def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
     by = docs.mapInArrow(packed_docs, PACKED)
     contexts = by.groupBy("b").cogroup(shared.unionByName(known).groupBy("b")).applyInArrow(_contexts(buckets), PACKED)
     ranges = cut(contexts.groupBy("b").applyInArrow(_resolve(buckets), PACKED))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     return by.groupBy("b").cogroup(ranges.unionByName(known).groupBy("b")).applyInArrow(_finish(LENGTH, text_too), schema)
 
 
