@@ -439,7 +439,7 @@ def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
     every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     importable(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("text"))
 
     def packed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
