@@ -1,6 +1,22 @@
-"""All queries of the reference's operators and their SQL."""
+"""All queries of the image-mark operators and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from functools import partial
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from markfield.functions.dialect import Duck, Spark, render
+
+#: Modules with QUERIES (name to declared operator); PROGRAMS are Spark functions of their own, with or without SQL.
+MODULES = ("pixels", "rules", "text", "jobs")
+OPERATORS = {k: v for m in MODULES for k, v in import_module(f"markfield.operators.{m}").QUERIES.items()}
+
+
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(render(OPERATORS[name], Spark(sf_dir)))
+
+
+QUERIES = {name: partial(run, name) for name in OPERATORS}
+SQL = {name: render(f, Duck()) for name, f in OPERATORS.items()}
