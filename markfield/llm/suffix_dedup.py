@@ -21,7 +21,7 @@ equal to one with a smaller doc_id are settled by their digest (128 bits and len
 packed arrays; memory is bounded by a bucket, whose number grows with spark.sql.shuffle.partitions, and a document.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing; rows with the same doc_id do not remove from
-each other; a null doc_id counts as larger than all; an empty table gives an empty result; other columns are ignored.
+each other and are told apart by their texts; a null doc_id counts as larger than all; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,6 +154,7 @@ def _find_anchors(buckets: int):
         for batch in batches:
             doc, data, offsets = _texts(batch)
             p, windows, gram, k = anchors(data, offsets[1:])
+            tag = np.array([xxhash.xxh32_intdigest(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
             shape = (windows * 64 + gram).astype(np.uint16)
             of = np.searchsorted(offsets, p, "right") - 1
             place = (p - offsets[of]).astype(np.int64)
@@ -162,7 +163,7 @@ def _find_anchors(buckets: int):
             for b, at in _split(bucket.astype(np.int64)):
                 own, n = np.unique(of[at], return_counts=True)  # `at` keeps the order of documents
                 key = k[at]
-                rows.append((b, _pack(lo=key.astype(np.uint32), hi=(key >> np.uint64(32)).astype(np.uint16), doc=doc[own], n=n.astype(np.uint32), at=place[at].astype(np.uint32 if place.max() < 2**32 else np.uint64), shape=shape[at])))
+                rows.append((b, _pack(lo=key.astype(np.uint32), hi=(key >> np.uint64(32)).astype(np.uint16), doc=doc[own], tag=tag[own], n=n.astype(np.uint32), at=place[at].astype(np.uint32 if place.max() < 2**32 else np.uint64), shape=shape[at])))
             yield _batch(rows)
 
     return run
@@ -174,17 +175,17 @@ def _shared_anchors(buckets: int, hot: int):
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(x) for x in t["blob"].to_pylist()]
         key = np.concatenate([x["lo"].astype(np.uint64) | (x["hi"].astype(np.uint64) << np.uint64(32)) for x in parts])
-        doc = np.concatenate([np.repeat(x["doc"], x["n"]) for x in parts])
+        doc, tag = (np.concatenate([np.repeat(x[c], x["n"]) for x in parts]) for c in ("doc", "tag"))
         at, shape = (np.concatenate([x[c].astype(np.int64) for x in parts]) for c in ("at", "shape"))
         order = np.argsort(key, kind="stable")
-        key, doc, at, shape = key[order], doc[order], at[order], shape[order]
+        key, doc, tag, at, shape = key[order], doc[order], tag[order], at[order], shape[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff([*starts, len(key)])
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         keep = np.repeat(several, n)
         frequent = np.repeat(n > hot, n)[keep]
-        doc, at, shape = doc[keep], at[keep], shape[keep].astype(np.uint16)
-        return pa.Table.from_batches([_batch([(b, _pack(doc=doc[i], at=at[i], shape=shape[i], hot=frequent[i])) for b, i in _split(_doc_bucket(doc, buckets))], 1)])
+        doc, tag, at, shape = doc[keep], tag[keep], at[keep], shape[keep].astype(np.uint16)
+        return pa.Table.from_batches([_batch([(b, _pack(doc=doc[i], tag=tag[i], at=at[i], shape=shape[i], hot=frequent[i])) for b, i in _split(_doc_bucket(doc, buckets))], 1)])
 
     return run
 
@@ -214,11 +215,16 @@ class _Documents:
             order = np.lexsort((self.told["at"], self.told["doc"]))
             self.told = {n: a[order] for n, a in self.told.items()}
 
-    def of(self, doc: int) -> dict[str, np.ndarray]:
+    def of(self, k: int) -> dict[str, np.ndarray]:
+        """What is told of document k: of rows with its doc_id and its text's tag."""
         if not self.told:
             return {}
-        a, b = np.searchsorted(self.told["doc"], [doc, doc + 1]) if doc != NO_ID else (np.searchsorted(self.told["doc"], doc), len(self.told["doc"]))
-        return {n: x[a:b] for n, x in self.told.items()}
+        told, doc = self.told["doc"], self.doc[k]
+        a, b = np.searchsorted(told, doc, "left"), np.searchsorted(told, doc, "right")
+        if a == b:
+            return {}
+        own = self.told["tag"][a:b] == xxhash.xxh32_intdigest(self.text[k])
+        return {n: x[a:b][own] for n, x in self.told.items()}
 
     def is_copy(self, k: int) -> bool:
         return bool(self.copies) and (self.doc[k], _digest(self.text[k])) in self.copies
@@ -235,32 +241,31 @@ def _contexts(buckets: int):
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
-        out: dict[str, list] = {"key": [], "doc": [], "from": [], "n": [], "gram": []}
+        out: dict[str, list] = {"key": [], "doc": [], "tag": [], "from": [], "n": [], "gram": []}
         texts = []
         for k, doc in enumerate(have.doc):
-            found = have.of(doc)
+            found = have.of(k)
             if not found or not len(found["at"]) or have.is_copy(k):
                 continue
             text = have.text[k]
+            tag = xxhash.xxh32_intdigest(text)
             for p, shape, hot in zip(found["at"].tolist(), found["shape"].tolist(), found["hot"].tolist(), strict=True):
                 windows, gram = divmod(shape, 64)
                 b = p + windows + LENGTH - 1
-                if b > len(text):  # of another row with this doc_id
-                    continue
                 if not hot:
-                    out["key"].append(h(text[p + gram : p + gram + GRAM])), out["doc"].append(doc), out["from"].append(p), out["n"].append(b - p), out["gram"].append(gram)
+                    out["key"].append(h(text[p + gram : p + gram + GRAM])), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(p), out["n"].append(b - p), out["gram"].append(gram)
                     texts.append(text[p:b])
                 else:  # each window on its own; its content names the bucket
                     for x in range(p, p + windows):
                         w = text[x : x + LENGTH]
-                        out["key"].append(h(w)), out["doc"].append(doc), out["from"].append(x), out["n"].append(LENGTH), out["gram"].append(0)
+                        out["key"].append(h(w)), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(x), out["n"].append(LENGTH), out["gram"].append(0)
                         texts.append(w)
         k = np.array(out["key"], np.uint64)
-        doc, start = np.array(out["doc"], np.int64), np.array(out["from"], np.int64)
+        doc, tag, start = np.array(out["doc"], np.int64), np.array(out["tag"], np.uint32), np.array(out["from"], np.int64)
         n, gram = np.array(out["n"], np.uint8), np.array(out["gram"], np.uint8)
         rows = []
         for b, i in _split((k % np.uint64(buckets)).astype(np.int64)):
-            rows.append((b, _pack(key=k[i], doc=doc[i], start=start[i], n=n[i], gram=gram[i], text=np.frombuffer(b"".join([texts[x] for x in i.tolist()]), np.uint8))))
+            rows.append((b, _pack(key=k[i], doc=doc[i], tag=tag[i], start=start[i], n=n[i], gram=gram[i], text=np.frombuffer(b"".join([texts[x] for x in i.tolist()]), np.uint8))))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -344,7 +349,7 @@ def _resolve(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(x) for x in t["blob"].to_pylist()]
-        key, doc, start, n, gram = (np.concatenate([x[c] for x in parts]) for c in ("key", "doc", "start", "n", "gram"))
+        key, doc, tag, start, n, gram = (np.concatenate([x[c] for x in parts]) for c in ("key", "doc", "tag", "start", "n", "gram"))
         raw = b"".join([x["text"].tobytes() for x in parts])
         ends = np.cumsum(n.astype(np.int64))
         begins = ends - n
@@ -395,8 +400,8 @@ def _resolve(buckets: int):
         if not ranges:
             return pa.Table.from_batches([_batch([])])
         r, a, b = np.array(ranges, np.int64).T
-        d, s = doc[r], start[r]
-        return pa.Table.from_batches([_batch([(k, _pack(doc=d[i], at=(s + a)[i], to=(s + b)[i])) for k, i in _split(_doc_bucket(d, buckets))], 1)])
+        d, s, w = doc[r], start[r], tag[r]
+        return pa.Table.from_batches([_batch([(k, _pack(doc=d[i], tag=w[i], at=(s + a)[i], to=(s + b)[i])) for k, i in _split(_doc_bucket(d, buckets))], 1)])
 
     return run
 
@@ -407,7 +412,7 @@ def _finish(length: int, text_too: bool):
         out: list[list] = [[] for _ in range(6)]
         for k, doc in enumerate(have.doc):
             raw = have.text[k]
-            found = have.of(doc)
+            found = have.of(k)
             spans: list[list[int]] = []
             if len(raw) >= length and have.is_copy(k):
                 spans = [[0, len(raw)]]
