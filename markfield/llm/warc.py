@@ -44,12 +44,12 @@ def leaves(records: DataFrame) -> DataFrame:
     return records.select("file", F.col("offset").alias("node"), F.sha2(F.concat(F.lit("leaf"), "sha").cast("binary"), 256).alias("hash"), "page_id")
 
 
-def tree(leaf: DataFrame, span: int) -> list[DataFrame]:
+def tree(leaf: DataFrame, span: int, n_files: int) -> list[DataFrame]:
     """Levels from the leaves up, each (file, node, hash), the last with one root: offset ranges, FAN at a time until a
     file of `span` bytes is one node, then FAN files at a time until `file` is one (levels: see depth)."""
     out = [leaf.select("file", "node", "hash")]
     up = lambda df, file, node: cut(df.groupBy(file.alias("file"), node.alias("node")).agg(F.array_sort(F.collect_list(F.struct("file", F.col("node").alias("n"), "hash"))).alias("c")).select("file", "node", F.sha2(F.array_join(F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["hash"])), "|").cast("binary"), 256).alias("hash")))
-    files, width = depth(span)
+    files, width = depth(span, n_files)
     out.append(up(out[-1], F.col("file"), F.floor(F.col("node") / RANGE)))
     for _ in range(width):
         out.append(up(out[-1], F.col("file"), F.floor(F.col("node") / FAN)))
@@ -59,8 +59,8 @@ def tree(leaf: DataFrame, span: int) -> list[DataFrame]:
     return out
 
 
-def depth(span: int, files: int = 2**36) -> tuple[int, int]:
-    """Levels over files (for any number up to `files`), and over offset ranges until `span` bytes are one node."""
+def depth(span: int, files: int) -> tuple[int, int]:
+    """Levels over `files` files beyond the first, and over offset ranges until `span` bytes are one node."""
     width, covered = 0, RANGE
     while covered < span:
         width, covered = width + 1, covered * FAN
@@ -73,9 +73,10 @@ def depth(span: int, files: int = 2**36) -> tuple[int, int]:
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """file, offset, page_id, status (altered, missing from b, extra in b) of the records that differ.  a, b: leaves."""
     a, b = cut(a), cut(b)
-    span = max([1, *(r["m"] or 0 for x in (a, b) for r in x.agg(F.max("node").alias("m")).collect())]) + 1
-    up, width = depth(span)
-    ta, tb = tree(a, span), tree(b, span)
+    most = [x.agg(F.max("node").alias("node"), F.max("file").alias("file")).first() for x in (a, b)]
+    span, files = (max(1, *(r[c] or 0 for r in most)) + 1 for c in ("node", "file"))
+    width = depth(span, files)[1]
+    ta, tb = tree(a, span, files), tree(b, span, files)
     suspects = None  # nodes of the level above that differ
     for level in range(len(ta) - 1, -1, -1):
         x, y = ta[level], tb[level]
