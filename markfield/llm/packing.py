@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from markfield.llm.shared import cut, table, text_or_empty
 
 CAPACITY, NODES = 2048, 2000
-#: Entries of a worker's cache of words; beyond it the cache starts anew.
-CACHE = 500_000
+#: Entries of a worker's cache of words; beyond it the cache starts anew.  Longer chunks are not remembered.
+CACHE, REMEMBER = 500_000, 64
 #: Characters that Python takes for white space and the tokenizer may not, or that may be white space to it alone, and
 #: the beginning of special tokens: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
@@ -70,7 +70,9 @@ class WordTokenizer:
             if len(self.words) >= self.most:
                 self.words.clear()
             spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(word) <= REMEMBER:
+                self.words[word] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -93,9 +95,9 @@ class WordTokenizer:
         if None in found:
             if len(self.cache) + len(found) > 2 * self.most:
                 self.cache.clear()
-            for c in {c for c, f in zip(chunks, found, strict=True) if f is None}:
-                self.cache[c] = self._chunk(c)
-            found = [self.cache[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+            new = {c: self._chunk(c) for c in {c for c, f in zip(chunks, found, strict=True) if f is None}}
+            self.cache.update((c, x) for c, x in new.items() if len(c) <= REMEMBER)
+            found = [new[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
         return b"".join(found)
 
 

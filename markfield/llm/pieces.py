@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from markfield.llm.shared import importable, table, text_or_empty
 
 MARK, UNKNOWN_PENALTY, CACHE = "▁", 10.0, 500_000
+#: Longer runs are not remembered.
+REMEMBER = 64
 _RUN = re.compile(" *[^ ]+| +")
 
 
@@ -97,10 +99,9 @@ class PieceCodec:
         if None in found:
             if len(self.known) + len(found) > 2 * self.most:
                 self.known.clear()
-            for r, f in zip(runs, found, strict=True):
-                if f is None and r not in self.known:
-                    self.known[r] = array("I", self.best(r)).tobytes()
-            found = [self.known[r] if f is None else f for r, f in zip(runs, found, strict=True)]
+            new = {r: array("I", self.best(r)).tobytes() for r in {r for r, f in zip(runs, found, strict=True) if f is None}}
+            self.known.update((r, x) for r, x in new.items() if len(r) <= REMEMBER)
+            found = [new[r] if f is None else f for r, f in zip(runs, found, strict=True)]
         return array("I", b"".join(found))
 
     def decode(self, ids: array) -> str:

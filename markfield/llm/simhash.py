@@ -14,9 +14,9 @@ holds more than 2 * BLOCK fingerprints of a cell and a hot cell is spread over t
 take part once.  Components of the links are found by distributed rounds.
 
 Defined cases: null text has no words; without words the fingerprint is zero, and it links like any other; texts of
-fewer words than a shingle are one shingle; repeated rows give a row each; null doc_id rows get their fingerprint and
-take component_id from the other members (null if there are none); an empty table gives an empty result; other columns
-are ignored.
+fewer words than a shingle are one shingle; repeated rows give a row each; rows with one doc_id and different texts are
+linked by their texts only; null doc_id rows link like any other and take component_id from the other members (null if
+none has a doc_id); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,15 +55,16 @@ def fingerprint(text: str, width: int = 4) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * count > n))
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp long (the fingerprint's bits as a signed integer) of every row."""
+def fingerprints(docs: DataFrame, width: int = 4, *keep: str) -> DataFrame:
+    """doc_id, fp long (the fingerprint's bits as a signed integer) of every row, and the long columns `keep`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b["text"]], dtype=np.uint64)
-            yield pa.record_batch([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b["doc_id"], pa.array(fps.view(np.int64)), *(b[c] for c in keep)], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *keep).mapInArrow(run, schema)
 
 
 def groups_for(n: int, distance: int) -> int:
@@ -211,14 +212,33 @@ def links(nodes: DataFrame, distance: int = 4, n: int | None = None) -> DataFram
     return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def labelled(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """fp, label long (the smallest fingerprint of its component) of every distinct fingerprint of fps (fp long)."""
+    nodes = cut(fps.select("fp").distinct())
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp long, component_id long of every row of docs (doc_id long, text string)."""
     fps = cut(fingerprints(docs, width))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    known = nodes.where("node is not null")
-    found = components(links(known, distance))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    labels = cut(labelled(fps, distance).join(first, "fp"))
+    least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
+    return fps.join(labels.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """The columns of docs for one row of each component: the one with the smallest doc_id (null last; of different
+    texts with one doc_id the one with the smallest hash).  A group is only ever aggregated by min."""
+    own = docs.withColumn("h__", F.xxhash64(text_or_empty()))
+    fps = cut(fingerprints(own, width, "h__"))
+    each = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h__")
+    best = cut(fps.groupBy("fp").agg(F.min(each).alias("best")))
+    best = labelled(best, distance).join(best, "fp").groupBy("label").agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("doc__"), F.col("best.h__").alias("hash__"))
+    kept = own.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("doc__")) & (F.col("h__") == F.col("hash__")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "h__"]).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_simhash(spark, odd):
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
 
 
+def test_near_duplicate_representatives(spark):
+    far = [" ".join(f"{x}{i}" for i in range(80)) for x in "pqrs"]
+    rows = [(3, far[0]), (2, far[0]), (2, far[0]), (2, far[1]), (None, far[2]), (None, far[2]), (None, far[3]), (7, far[3]), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.representatives(docs).collect()), key=str)
+    assert kept == sorted([(2, far[0]), (2, far[1]), (None, far[2]), (7, far[3]), (8, None)], key=str)
+    seen = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [c for (i, _), c in seen.items() if i is None and c is not None] == [7] and set(seen.values()) == {2, None, 7, 8}
+
+
 def test_packing(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
