@@ -6,11 +6,11 @@ alone, and there are at most `capacity` lengths: the plan is made on that histog
 corpus, and then pieces are dealt to the plan's slots by their rank within their length, without gathering them.
 
 The plan is bin completion: around the largest length left, branch and bound enumerates fillings of the rest of the
-sequence, largest lengths first; a filling dominated by another (a length that a larger one that is left could replace
-without overflow) is not visited, a branch whose waste cannot fall below the incumbent's is pruned, and the best-fit
-filling is the first incumbent.  The filling is then used as often as the counts allow at once.  Waste is bounded below
-by zero, so a perfect filling ends the search.  The search visits at most NODES fillings for each pattern (a documented
-parameter of effort: the result stays a correct packing, of the best filling found).
+sequence, largest lengths first; a partial filling that one with larger lengths dominates (it reached the same room
+before, with all that can follow) is not visited, a branch whose waste cannot fall below the incumbent's is pruned, and
+the best-fit filling is the first incumbent.  The filling is then used as often as the counts allow at once.  Waste is
+bounded below by zero, so a perfect filling ends the search.  The search visits at most NODES fillings for each pattern
+(a documented parameter of effort: the result stays a correct packing, of the best filling found).
 
 Defined cases: null text is empty and is one token, the id 0; repeated rows are packed each; a null doc_id is kept; an
 empty table gives an empty result; other columns are ignored.
@@ -143,9 +143,15 @@ def completion(lengths: list[int], counts: list[int], room: int, nodes: int = NO
     for i in range(len(lengths) - 1, -1, -1):
         below[i] = min(room, below[i + 1] + lengths[i] * counts[i])
     chosen: list[tuple[int, int]] = []
+    reached: dict[int, int] = {}  # room -> least index from which fillings of that room were enumerated
 
     def visit(i: int, left: int) -> None:
         nonlocal best, best_waste, visited
+        # Lengths from i on are untouched, so what can follow depends on (i, left) alone: a partial filling whose room a
+        # filling with larger lengths reached before, from no later an index, is dominated by it.
+        if reached.get(left, len(lengths) + 1) <= i:
+            return
+        reached[left] = i
         visited += 1
         if left < best_waste:
             best, best_waste = chosen.copy(), left
@@ -157,7 +163,7 @@ def completion(lengths: list[int], counts: list[int], room: int, nodes: int = NO
                 lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
             while lo < len(lengths) and not counts[lo]:
                 lo += 1
-            if lo == len(lengths) or left - below[lo] >= best_waste:
+            if lo == len(lengths) or left - below[lo] >= best_waste:  # all that is left cannot fall below the incumbent
                 return
             i = lo + 1
             for times in range(min(counts[lo], left // lengths[lo]), 0, -1):
@@ -166,8 +172,6 @@ def completion(lengths: list[int], counts: list[int], room: int, nodes: int = NO
                 chosen.pop()
                 if not best_waste or visited >= nodes:
                     return
-            # Without lengths[lo]: what follows is dominated if it leaves room for it, or if a filling of smaller
-            # lengths could be replaced by it; only fillings that use the room better than the incumbent go on.
 
     visit(0, room)
     return best
