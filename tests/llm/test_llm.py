@@ -213,3 +213,15 @@ def test_warc_empty_and_damage(spark):
     a = warc.leaves(warc.warc_records(pages))
     assert warc.audit(a, a).count() == 0
     assert {r.status for r in warc.audit(a, a.limit(0)).collect()} == {"missing"}
+
+
+def test_completion_is_exact():
+    rng = random.Random(1)
+    for _ in range(500):
+        lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 7)), reverse=True)
+        counts, room = [rng.randint(0, 3) for _ in lengths], rng.randint(0, 90)
+        sums = {0}
+        for x, c in zip(lengths, counts, strict=True):
+            sums = {s + k * x for s in sums for k in range(c + 1) if s + k * x <= room}
+        found = packing.completion(lengths, counts, room, 10**6)
+        assert sum(lengths[i] * n for i, n in found) == max(sums) and all(n <= counts[i] for i, n in found)
