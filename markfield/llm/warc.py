@@ -15,7 +15,9 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markfield.llm.shared import cut, table
@@ -23,8 +25,9 @@ from markfield.llm.shared import cut, table
 FILE_PAGES, RANGE, FAN = 2048, 1 << 18, 64
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """page_id, file, offset, length long, record string (the bytes of the WARC file are the records by offset)."""
+def warc_records(pages: DataFrame, copied: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """page_id, file, offset, length long, record string (the bytes of the WARC file are the records by offset), sha (of
+    the bytes).  copied: the bytes that a replica has for a record, from page_id and record; their digest is copy_sha."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.regexp_replace(url, "[\r\n]", "%0A"),
@@ -35,6 +38,8 @@ def warc_records(pages: DataFrame) -> DataFrame:
     made = pages.select(page.alias("page_id"), F.coalesce(F.floor(page / FILE_PAGES), F.lit(-1)).cast("long").alias("file"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
     order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "sha").rowsBetween(Window.unboundedPreceding, -1)
     made = made.withColumns({"length": F.octet_length("record").cast("long"), "sha": F.sha2(F.col("record").cast("binary"), 256)})
+    if copied is not None:
+        made = made.withColumn("copy_sha", F.sha2(copied(F.col("page_id"), F.col("record").cast("binary")), 256))
     # Only sizes and digests go through the shuffle of the running sum; records are hashed where they are read.
     return made.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
 
@@ -98,15 +103,25 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return suspects.join(known, ["file", "node"]).select("file", F.col("node").alias("offset"), "page_id", status.alias("status"))
 
 
+def damaged(page: Column, record: Column) -> Column:
+    """The record's bytes; where page_id % 97 = 3 the byte in the middle is another one."""
+    at = F.octet_length(record) / 2 + 1
+    byte = F.when(F.substring(record, at.cast("int"), 1) == F.lit(b"x"), F.lit(b"y")).otherwise(F.lit(b"x"))
+    return F.when(page % 97 == 3, F.overlay(record, byte, at.cast("int"), 1)).otherwise(record)
+
+
+def replica(records: DataFrame) -> DataFrame:
+    """The records that the replica has, with the digests of its own bytes, where the archive's index has them."""
+    own = records.withColumn("sha", F.col("copy_sha"))
+    stray = own.where("page_id % 1511 = 7").withColumn("offset", F.col("offset") + 1)
+    return own.where("page_id is null or page_id % 1013 <> 5").unionByName(stray)
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica in which page_id % 97 = 3 has one changed byte, % 1013 = 5 is lost and
-    % 1511 = 7 has a stray record one byte after its own."""
-    records = warc_records(table(spark, sf_dir, "pages")).drop("record")
-    a = cut(leaves(records))
-    damaged = F.when(F.col("page_id") % 97 == 3, F.sha2(F.concat(F.lit("damage"), "hash").cast("binary"), 256)).otherwise(F.col("hash"))
-    kept = a.where("page_id is null or page_id % 1013 <> 5").withColumn("hash", damaged)
-    stray = a.where("page_id % 1511 = 7").select("file", (F.col("node") + 1).alias("node"), "hash", "page_id")
-    return audit(a, kept.unionByName(stray))
+    % 1511 = 7 has a stray record one byte after its own.  Both sides are hashed from their own bytes."""
+    records = cut(warc_records(table(spark, sf_dir, "pages"), damaged).drop("record"))
+    return audit(leaves(records), leaves(replica(records)))
 
 
 OP5_SQL = f"""

@@ -1,0 +1,26 @@
+"""The replica's leaves are digests of its own bytes."""
+
+import hashlib
+
+from markfield.llm import warc
+
+
+def test_replica_is_hashed_from_its_bytes(spark):
+    rows = [(i, f"u{i}", None if i % 5 == 0 else "hé" * i) for i in range(110)] + [(1013 + 5, "u", "lost"), (1511 + 7, "u", "stray"), (None, None, None), (3, "x" * 300, "x" * 300)]
+    records = warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"), warc.damaged)
+    own = {(r.file, r.offset): r for r in records.collect()}
+    got = {(r.file, r.node): r for r in warc.leaves(warc.replica(records)).collect()}
+    changed = 0
+    for key, r in own.items():
+        if r.page_id is not None and r.page_id % 1013 == 5:
+            assert key not in got
+            continue
+        b = bytearray(r.record.encode())
+        if r.page_id is not None and r.page_id % 97 == 3:
+            at = len(b) // 2
+            b[at] = ord("y") if b[at] == ord("x") else ord("x")
+            changed += 1
+            assert got[key].hash != hashlib.sha256(b"leaf" + r.sha.encode()).hexdigest()
+        assert got[key].hash == hashlib.sha256(b"leaf" + hashlib.sha256(b).hexdigest().encode()).hexdigest()
+    stray = [key for key, r in own.items() if r.page_id is not None and r.page_id % 1511 == 7]
+    assert changed == 3 and all((f, o + 1) in got for f, o in stray) and len(stray) == 2 and len(got) == len(own)
