@@ -5,12 +5,15 @@ sequence are cut.  Whether a set of pieces can be packed into few sequences depe
 alone, and there are at most `capacity` lengths: the plan is made on that histogram, whose size does not grow with the
 corpus, and then pieces are dealt to the plan's slots by their rank within their length, without gathering them.
 
-The plan is bin completion: around the largest length left, branch and bound enumerates fillings of the rest of the
-sequence, largest lengths first; a partial filling that one with larger lengths dominates (it reached the same room
-before, with all that can follow) is not visited, a branch whose waste cannot fall below the incumbent's is pruned, and
-the best-fit filling is the first incumbent.  The filling is then used as often as the counts allow at once.  Waste is
-bounded below by zero, so a perfect filling ends the search.  The search visits at most NODES fillings for each pattern
-(a documented parameter of effort: the result stays a correct packing, of the best filling found).
+The plan is bin completion.  Two whole packings are the first incumbents: best-fit decreasing, and a greedy one that
+takes the least-waste filling around the largest length left as often as the counts allow.  Where neither reaches the
+lower bound, branch and bound goes on over whole packings: a state is the counts that are left; its branches are the
+undominated fillings of the sequence with the largest length, once or as often as the counts allow; a state is completed
+by best-fit decreasing, and dropped if its waste and the bound of the rest cannot beat the incumbent.  Multiplicities
+make the work depend on the lengths, not on the corpus.
+
+The problem is NP-hard: NODES bounds the search for a filling and STATES the states of the whole search.  Within them the
+packing is optimal; beyond them it is the best found, and never worse than best-fit decreasing.
 
 Defined cases: null text is empty and is one token, the id 0; repeated rows are packed each; a null doc_id is kept; an
 empty table gives an empty result; other columns are ignored.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from markfield.llm.shared import cut, table, text_or_empty
 
-CAPACITY, NODES = 2048, 2000
+CAPACITY, NODES, STATES = 2048, 2000, 500
 #: Entries of a worker's cache of words; beyond it the cache starts anew.  Longer chunks are not remembered.
 CACHE, REMEMBER = 500_000, 64
 #: Characters that Python takes for white space and the tokenizer may not, or that may be white space to it alone, and
@@ -177,11 +181,13 @@ def completion(lengths: list[int], counts: list[int], room: int, nodes: int = NO
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns (times used, [(length, times in a sequence)]) that use up the histogram of lengths."""
-    lengths = sorted((x for x, c in histogram.items() if c), reverse=True)
-    counts = [histogram[x] for x in lengths]
-    out: list[tuple[int, list[tuple[int, int]]]] = []
+Patterns = list[tuple[int, list[tuple[int, int]]]]
+
+
+def greedy(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> Patterns:
+    """The least-waste filling around the largest length left, as often as the counts allow, until nothing is left."""
+    counts = counts.copy()
+    out: Patterns = []
     at = 0
     while at < len(lengths):
         if not counts[at]:
@@ -200,6 +206,104 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     return out
 
 
+def best_fit(lengths: list[int], counts: list[int], capacity: int) -> Patterns:
+    """Best-fit decreasing, on classes of equal sequences: as often as it fits, a length goes into those with least room."""
+    open_: list[tuple[int, int, list[tuple[int, int]]]] = []  # room, sequences, items; by room
+    full: Patterns = []
+    for length, c in zip(lengths, counts, strict=True):
+        while c:
+            k = bisect_left(open_, length, key=lambda x: x[0])
+            room, n, items = open_.pop(k) if k < len(open_) else (capacity, c, [])
+            each = min(room // length, c)
+            take = min(n, c // each)
+            c -= take * each
+            if take < n and items:
+                insort(open_, (room, n - take, items), key=lambda x: x[0])
+            if room - each * length:
+                insort(open_, (room - each * length, take, [*items, (length, each)]), key=lambda x: x[0])
+            else:
+                full.append((take, [*items, (length, each)]))
+    return full + [(n, items) for _, n, items in open_]
+
+
+def sequences_needed(lengths: list[int], counts: list[int], capacity: int) -> int:
+    """Lower bound: the volume; and for every length s up to half a sequence, pieces over capacity - s have a sequence
+    each, those over half one that only their own room can fill up with pieces of s and more."""
+    best = -(-sum(x * c for x, c in zip(lengths, counts, strict=True)) // capacity)
+    left = [(x, c) for x, c in zip(lengths, counts, strict=True) if c]
+    n, v = [0], [0]
+    for x, c in left:
+        n.append(n[-1] + c)
+        v.append(v[-1] + x * c)
+    half = sum(2 * x > capacity for x, _ in left)
+    for i, (s, _) in enumerate([*left[half:], (0, 0)]):
+        lone = bisect_right(left, -(capacity - s) - 1, key=lambda y: -y[0])  # longer than capacity - s
+        free = (n[half] - n[lone]) * capacity - (v[half] - v[lone])
+        small = v[half + i + 1] - v[half] if s else v[-1] - v[half]
+        best = max(best, n[half] + max(0, -(-(small - free) // capacity)))
+    return best
+
+
+def fillings(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[tuple[int, dict[int, int]]]:
+    """(waste, {index: times}) of the undominated fillings of the sequence with the largest length left, least waste first
+    (of the first `nodes` partial ones).  Dominated: another piece still fits, or a longer one fits in place of one."""
+    at = next(i for i, c in enumerate(counts) if c)
+    live = [i for i in range(at, len(lengths)) if counts[i]]
+    out: list[tuple[int, dict[int, int]]] = []
+    stack: list[tuple[int, int, dict[int, int]]] = [(0, capacity - lengths[at], {at: 1})]
+    visited = 0
+    while stack and visited < nodes:
+        k, room, used = stack.pop()
+        visited += 1
+        while k < len(live) and (lengths[live[k]] > room or used.get(live[k], 0) >= counts[live[k]]):
+            k += 1
+        if k < len(live):
+            i = live[k]
+            most = min(room // lengths[i], counts[i] - used.get(i, 0))
+            stack += [(k + 1, room - t * lengths[i], used | {i: used.get(i, 0) + t} if t else used) for t in range(most + 1)]
+            continue
+        spare = [i for i in live if used.get(i, 0) < counts[i]]
+        if spare and lengths[spare[-1]] <= room:
+            continue
+        own = used if used[at] > 1 else [i for i in used if i != at]  # the first piece is given
+        if not any(lengths[j] > lengths[i] and lengths[j] <= lengths[i] + room for i in own for j in spare):
+            out.append((room, used))
+    out.sort(key=lambda x: x[0])
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, states: int = STATES) -> Patterns:
+    """Patterns (times used, [(length, times in a sequence)]) that use up the histogram of lengths."""
+    lengths = sorted((x for x, c in histogram.items() if c), reverse=True)
+    counts = [histogram[x] for x in lengths]
+    size = lambda p: sum(often for often, _ in p)
+    best = min(greedy(lengths, counts, capacity, nodes), best_fit(lengths, counts, capacity), key=size)
+    bound = sequences_needed(lengths, counts, capacity)
+    seen: dict[tuple[int, ...], int] = {}
+    # Sequences so far, their patterns as a chain to the parents, counts left, and a filling still to be applied.
+    stack: list[tuple[int, tuple, list[int], dict[int, int], int]] = [(0, (), counts, {}, 0)]
+    while stack and size(best) > bound and len(seen) < states:
+        done, chain, left, used, often = stack.pop()
+        if used:
+            left = left.copy()
+            for i, times in used.items():
+                left[i] -= often * times
+            done, chain = done + often, (chain, (often, [(lengths[i], t) for i, t in used.items()]))
+        if done + sequences_needed(lengths, left, capacity) >= size(best) or seen.get(tuple(left), done + 1) <= done:
+            continue
+        seen[tuple(left)] = done
+        rest = best_fit(lengths, left, capacity)
+        if done + size(rest) < size(best):
+            best, link = rest, chain
+            while link:
+                best = [link[1], *best]
+                link = link[0]
+        for _, used in reversed(fillings(lengths, left, capacity, nodes) if any(left) else []):
+            most = min(left[i] // t for i, t in used.items())
+            stack += [(done, chain, left, used, n) for n in sorted({1, most})]
+    return best
+
+
 def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, last rank, first sequence, sequences, offset) of every run of slots: rank r of the length
     is in sequence first + (r - first rank) % sequences, at offset + length * ((r - first rank) // sequences)."""
