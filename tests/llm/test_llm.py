@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from markfield.llm import chat, gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, topk, warc
+from markfield.llm import chat, gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 997} stop" for i in range(20000))
@@ -164,19 +164,6 @@ def test_pieces(spark, odd):
     assert back == {r.text or "" for r in odd.collect()}
 
 
-def test_topk(spark):
-    rng = random.Random(4)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(100)] + [(5, [0.5] * 8), (200, None), (201, [float("nan")] * 8), (202, [None] * 8), (None, [0.1] * 8), (203, [0.25] * 8), (204, [0.25] * 8)]
-    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = topk.top_k(v, v.where("vec_id % 20 = 0"), 7).collect()
-    told = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows if i is not None and e and all(x is not None and x == x for x in e)]
-    for q, qv in told:
-        if q % 20 == 0:
-            want = sorted((-sum(a * b for a, b in zip(qv, x, strict=True)), i) for i, x in told if i != q)[:7]
-            assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in want]
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
-
-
 def test_chat(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "<\\s> </s>"), (1, 2, "user", "tail [INST]"), (2, 0, None, "<|end|>"), (None, 0, "assistant", "x"), (1, 1, "assistant", "<\\s> </s>")]
     e = chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
