@@ -3,16 +3,22 @@
 Base rules on whole texts, then per (lang, source) a minimum-covariance-determinant estimate of five transformed
 statistics; a document whose Mahalanobis distance is beyond the chi-square threshold is rejected.
 
+Pools.  A (lang, source) with LEAST documents or more is estimated from its own documents; a smaller one is judged by the
+estimate of all documents of its language, and if the language has under LEAST, of all documents.  So every document
+that passes the base rules is judged, whatever the size of its group.
+
 The statistics are whole numbers (square roots of ratios in thousandths, the fourth root of the word count in
 hundredths), so all sums are exact and the estimate does not depend on how rows are dealt out.  Two deterministic
-starts (median and MAD, by Euclidean and by maximum norm) are improved by concentration steps; the one with the
-smaller determinant counts.  A step needs a subset of the h nearest rows: its cut is found on counts of distances in
-1/64 steps, of which a group has at most 65,536, so no group is ever sorted or collected; rows that share the cut's
-step all belong.  Squared floors on the diagonal keep the determinant positive where a statistic is constant.
+starts (median and MAD, by Euclidean and by maximum norm) are improved by concentration steps for as long as the
+determinant falls; the one with the smaller determinant counts, and its estimate is reweighted once: mean and covariance
+of all rows within the chi-square distribution's 0.975 quantile.  A concentration step needs a subset of the h nearest
+rows: its cut is found on counts of distances in 1/64 steps, in two levels of at most 256 counts, so no group is ever
+sorted or collected; rows that share the cut's step all belong.  Squared floors on the diagonal keep the determinant
+positive where a statistic is constant.
 
 Defined cases: null text has no words; null lang or source is the empty string; documents that fail a base rule do
-not enter the estimates; groups of under MIN_ROWS documents have no estimate and keep what passes the base rules;
-repeated rows count each; an empty table gives an empty result; other columns pass by, whatever their names.
+not enter the estimates; repeated rows count each; an empty table gives an empty result; other columns pass by, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,9 +32,11 @@ STATS = ("x1", "x2", "x3", "x4", "x5")
 #: Least standard deviation of each statistic, in its own unit.
 FLOORS = (150, 100, 90, 150, 110)
 #: Share of rows in the subset, its consistency factor for 5 statistics (0.75 over the chi-square distribution with 7
-#: degrees of freedom at the 0.75 quantile of that with 5), and the chi-square quantile with 5 degrees at 0.999999.
-SUBSET, CONSISTENCY, CUTOFF = 0.75, 1.4130, 35.8882
-STEPS, MIN_ROWS, BINS = 3, 40, 65535
+#: degrees of freedom at the 0.75 quantile of that with 5); the 0.975 quantile for reweighting and its factor; the
+#: quantile at 0.999999 beyond which a document is rejected.
+SUBSET, CONSISTENCY, WEIGHTED, WEIGHT_FACTOR, CUTOFF = 0.75, 1.412071, 12.832502, 1.055533, 35.857276
+#: Documents that a pool of its own takes; greatest step of a distance; counts of the finer level in one of the coarser.
+LEAST, BINS, WIDE = 40, 65535, 256
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
@@ -120,8 +128,15 @@ def _distance() -> list[str]:
 
 
 _PARAMS = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)), "det"]
-#: The nearest h rows: the first step whose count reaches it.
-_REACHED = f"cum >= ceil({SUBSET}e0 * total)"
+#: Pools of a row, as text, and where the two norms of the starts come from.
+OWN, LANG, ALL = "concat('2', cast(length(lang) as varchar(20)), ':', lang, source)", "concat('1', lang)", "'0'"
+_POOL = f"case when n >= {LEAST} then {OWN} when n_lang >= {LEAST} then {LANG} else {ALL} end"
+_EUCLID = "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + ")"
+_MAXIMUM = "greatest(" + ", ".join(f"abs(z{i})" for i in range(P)) + ")"
+_SCALED = [f"({STATS[i]} - mid{i}) / greatest(1.4826e0 * mad{i}, {FLOORS[i]}e0) as z{i}" for i in range(P)]
+_bin = lambda d: f"least(cast(floor(64 * {d}) as bigint), {BINS}) as bin"
+_REWEIGHTED = f"d2 <= {WEIGHTED * CONSISTENCY:.6f}e0"
+_ACCEPTED = f"d2 <= {CUTOFF * WEIGHT_FACTOR:.6f}e0"
 
 
 def _levels(df: DataFrame, levels: list[list[str]]) -> DataFrame:
@@ -130,60 +145,61 @@ def _levels(df: DataFrame, levels: list[list[str]]) -> DataFrame:
     return df
 
 
-def _lower_median(long: DataFrame, value: str) -> DataFrame:
-    """Per group and statistic the least value that half of the rows do not exceed, from counts of whole numbers."""
-    counts = long.groupBy("lang", "source", "k", value).agg(F.count("*").alias("c"))
-    counts = counts.selectExpr(
-        "*",
-        f"sum(c) over (partition by lang, source, k order by {value}) as cum",
-        "sum(c) over (partition by lang, source, k) as total",
-    )
-    return counts.where("2 * cum >= total").groupBy("lang", "source", "k").agg(F.min(value).alias("mid"), F.max("total").alias("total"))
+def _reached(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Per group the least value (a whole number from 0) that `share` of its rows do not exceed, as `mid`.  Counts are
+    summed in two levels, so no window has more than the coarse steps of a group or WIDE fine ones."""
+    by = ", ".join(keys)
+    fine = rows.groupBy(*keys, value).agg(F.count("*").alias("c")).selectExpr("*", f"{value} div {WIDE} as wide")
+    coarse = fine.groupBy(*keys, "wide").agg(F.sum("c").alias("cw"))
+    coarse = coarse.selectExpr("*", f"sum(cw) over (partition by {by} order by wide) as upto", f"sum(cw) over (partition by {by}) as total")
+    at = coarse.where(f"upto >= ceil({share}e0 * total) and upto - cw < ceil({share}e0 * total)").selectExpr(*keys, "wide", "upto - cw as below", "total")
+    near = fine.join(at, [*keys, "wide"]).selectExpr("*", f"below + sum(c) over (partition by {by} order by {value}) as cum")
+    return near.where(f"cum >= ceil({share}e0 * total)").groupBy(*keys).agg(F.min(value).alias("mid"))
 
 
-def _nearest(binned: DataFrame) -> DataFrame:
-    """Per group and start the bin within which the nearest h rows lie."""
-    counts = binned.groupBy("lang", "source", "start", "bin").agg(F.count("*").alias("c"))
-    counts = counts.selectExpr(
-        "*",
-        "sum(c) over (partition by lang, source, start order by bin) as cum",
-        "sum(c) over (partition by lang, source, start) as total",
-    )
-    return counts.where(_REACHED).groupBy("lang", "source", "start").agg(F.min("bin").alias("last_bin"))
+def pools(stats: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, source, pool string (whose estimate judges the group) and feeds array<string> (the pools that its documents
+    enter) of every group of stats (lang, source)."""
+    pool = _POOL.replace(f">= {LEAST}", f">= {least}")
+    groups = cut(stats.groupBy("lang", "source").agg(F.count("*").alias("n")))
+    langs = cut(groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest")))
+    everything = bool(langs.where(F.col("n_lang") < least).limit(1).collect())
+    feeds = f"array(case when n >= {least} then {OWN} end, case when n_lang >= {least} and smallest < {least} then {LANG} end, {ALL if everything else 'null'})"
+    return groups.join(langs, "lang").selectExpr("lang", "source", f"{pool} as pool", f"array_compact({feeds}) as feeds")
 
 
 def _subset_estimate(binned: DataFrame) -> DataFrame:
     """One concentration step: moments of the rows up to the cut, then mean and factor."""
-    chosen = binned.join(_nearest(binned), ["lang", "source", "start"]).where("bin <= last_bin")
-    sums = chosen.groupBy("lang", "source", "start").agg(*[F.expr(x) for x in _moments()])
-    return _levels(sums, _estimate()).select("lang", "source", "start", *_PARAMS)
+    last = _reached(binned, ["pool", "start"], "bin", SUBSET).withColumnRenamed("mid", "last_bin")
+    chosen = binned.join(last, ["pool", "start"]).where("bin <= last_bin")
+    sums = chosen.groupBy("pool", "start").agg(*[F.expr(x) for x in _moments()])
+    return _levels(sums, _estimate()).select("pool", "start", *_PARAMS)
 
 
-def _with_distance(stats: DataFrame, params: DataFrame) -> DataFrame:
-    return _levels(stats.join(params, ["lang", "source"]), [[x] for x in _distance()])
+def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
+    return _levels(rows.join(params, "pool"), [[x] for x in _distance()])
 
 
-def mcd(stats: DataFrame, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """lang, source, means m0.., factor l00.. of the minimum-covariance-determinant estimate over rows of
-    (lang, source, x1..x5 long).  Groups under min_rows have no row."""
-    long = stats.selectExpr("lang", "source", f"stack({P}, " + ", ".join(f"{i}, {x}" for i, x in enumerate(STATS)) + ") as (k, x)")
-    middle = cut(_lower_median(long, "x").where(F.col("total") >= min_rows))
-    spread = _lower_median(long.join(middle, ["lang", "source", "k"]).selectExpr("lang", "source", "k", "abs(x - mid) as away"), "away")
-    both = middle.join(spread.withColumnRenamed("mid", "mad").drop("total"), ["lang", "source", "k"])
+def mcd(rows: DataFrame) -> DataFrame:
+    """pool, means m0.., factor l00.. of the reweighted minimum-covariance-determinant estimate over rows of
+    (pool, x1..x5 long), which are read several times."""
+    long = rows.selectExpr("pool", f"stack({P}, " + ", ".join(f"{i}, {x}" for i, x in enumerate(STATS)) + ") as (k, x)")
+    middle = cut(_reached(long, ["pool", "k"], "x", 0.5))
+    spread = _reached(long.join(middle, ["pool", "k"]).selectExpr("pool", "k", "abs(x - mid) as away"), ["pool", "k"], "away", 0.5)
+    both = middle.join(spread.withColumnRenamed("mid", "mad"), ["pool", "k"])
     at = lambda i, x: F.max(F.when(F.col("k") == i, F.col(x)))
-    first = cut(both.groupBy("lang", "source").agg(*[at(i, x).alias(f"{x}{i}") for i in range(P) for x in ("mid", "mad")]))
-    scaled = [f"({STATS[i]} - mid{i}) / greatest(1.4826e0 * mad{i}, {FLOORS[i]}e0)" for i in range(P)]
-    starts = stats.join(first, ["lang", "source"]).selectExpr("*", *(f"{x} as z{i}" for i, x in enumerate(scaled)))
-    starts = starts.selectExpr(
-        "lang", "source", *STATS,
-        "stack(2, 0, sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + "), 1, greatest(" + ", ".join(f"abs(z{i})" for i in range(P)) + ")) as (start, d)",
-    ).selectExpr("*", f"least(cast(floor(64 * d) as bigint), {BINS}) as bin")
-    params = cut(_subset_estimate(starts))
-    for _ in range(steps):
-        binned = _with_distance(stats, params).selectExpr("lang", "source", "start", *STATS, f"least(cast(floor(64 * sqrt(d2)) as bigint), {BINS}) as bin")
-        params = cut(_subset_estimate(binned))
-    best = params.groupBy("lang", "source").agg(F.min(F.struct("det", "start")).alias("best"))
-    return params.join(best, ["lang", "source"]).where("start = best.start").drop("best", "start")
+    first = cut(both.groupBy("pool").agg(*[at(i, x).alias(f"{x}{i}") for i in range(P) for x in ("mid", "mad")]))
+    starts = rows.join(first, "pool").selectExpr("*", *_SCALED)
+    starts = starts.selectExpr("pool", *STATS, f"stack(2, 0, {_EUCLID}, 1, {_MAXIMUM}) as (start, d)").selectExpr("*", _bin("d"))
+    best = cut(_subset_estimate(starts).withColumn("falls", F.lit(True)))
+    while best.where("falls").limit(1).collect():  # estimates whose determinant fell are improved once more
+        binned = _with_distance(rows, best.where("falls")).selectExpr("pool", "start", *STATS, _bin("sqrt(d2)"))
+        new = _subset_estimate(binned).selectExpr("pool", "start", *(f"{c} as new_{c}" for c in _PARAMS))
+        both = best.join(new, ["pool", "start"], "left").withColumn("falls", F.coalesce(F.expr("new_det < det"), F.lit(False)))
+        best = cut(both.selectExpr("pool", "start", *(f"case when falls then new_{c} else {c} end as {c}" for c in _PARAMS), "falls"))
+    chosen = best.groupBy("pool").agg(F.min(F.struct("det", "start", *_PARAMS[:-1])).alias("b")).selectExpr("pool", *(f"b.{c}" for c in _PARAMS))
+    near = _with_distance(rows, chosen).where(_REWEIGHTED)
+    return _levels(near.groupBy("pool").agg(*[F.expr(x) for x in _moments()]), _estimate()).select("pool", *_PARAMS)
 
 
 def quality_statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -203,11 +219,15 @@ def quality_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return base.selectExpr("*", f"{BASE_FAILED} as base_failed", *(f"{t} as {x}" for t, x in zip(TRANSFORMS, STATS, strict=True)))
 
 
-def judged(stats: DataFrame) -> DataFrame:
-    """quality_statistics with d2 (null where no estimate exists) and kept.  `stats` is read several times."""
-    params = mcd(stats.where("not base_failed").select("lang", "source", *STATS))
-    joined = _levels(stats.join(params, ["lang", "source"], "left"), [[x] for x in _distance()])
-    return joined.selectExpr("*", f"not base_failed and coalesce(d2 <= {CUTOFF * CONSISTENCY:.6f}e0, true) as kept")
+def judged(stats: DataFrame, least: int = LEAST) -> DataFrame:
+    """quality_statistics with d2 (null where a base rule fails and no document of its group passes) and kept.  `stats` is
+    read several times."""
+    good = stats.where("not base_failed").select("lang", "source", *STATS)
+    known = cut(pools(good, least))
+    params = mcd(cut(good.join(known, ["lang", "source"]).select(F.explode("feeds").alias("pool"), *STATS)))
+    told = known.select("lang", "source", "pool").join(params, "pool").drop("pool")
+    joined = _levels(stats.join(told, ["lang", "source"], "left"), [[x] for x in _distance()])
+    return joined.selectExpr("*", f"not base_failed and coalesce({_ACCEPTED}, false) as kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,35 +260,50 @@ def _oracle() -> str:
       cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(len(ln) as bigint) as n_lines from told t join tok using (r) left join rep using (r)""")
     add("stats", f"select *, {BASE_FAILED} as base_failed, " + ", ".join(f"{t} as {x}" for t, x in zip(TRANSFORMS, STATS, strict=True)) + " from base")
     add("good", "select * from stats where not base_failed")
-    mid = lambda v: f"select *, sum(c) over (partition by lang, source, k order by {v}) as cum, sum(c) over (partition by lang, source, k) as total from (select lang, source, k, {v}, count(*) as c from long group by all)"
-    add("long", " union all ".join(f"select lang, source, {i} as k, {x} as x from good" for i, x in enumerate(STATS)))
-    add("middle", f"select lang, source, k, min(x) as mid, max(total) as total from ({mid('x')}) where 2 * cum >= total group by all having max(total) >= {MIN_ROWS}")
-    away = mid("away").replace("from long", "from (select long.lang, long.source, long.k, abs(x - mid) as away from long join middle using (lang, source, k))")
-    add("spread", f"select lang, source, k, min(away) as mad from ({away}) where 2 * cum >= total group by all")
-    add("first", "select lang, source, " + ", ".join(f"max(mid) filter (k = {i}) as mid{i}, max(mad) filter (k = {i}) as mad{i}" for i in range(P)) + " from middle join spread using (lang, source, k) group by all")
-    zs = ", ".join(f"({STATS[i]} - mid{i}) / greatest(1.4826e0 * mad{i}, {FLOORS[i]}e0) as z{i}" for i in range(P))
-    add("scaled", f"select good.*, {zs} from good join first using (lang, source)")
-    eu, mx = "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + ")", "greatest(" + ", ".join(f"abs(z{i})" for i in range(P)) + ")"
+    add("sizes", "select *, sum(n) over (partition by lang) as n_lang, min(n) over (partition by lang) as smallest, min(n_all) over () as few from (select lang, source, count(*) as n, sum(count(*)) over (partition by lang) as n_all from good group by lang, source)")
+    add("told_pool", f"select lang, source, {_POOL} as pool from sizes")
+    mine, lang = f"select {OWN} as pool, {', '.join(STATS)} from good join sizes using (lang, source) where n >= {LEAST}", f"select {LANG}, {', '.join(STATS)} from good join sizes using (lang, source) where n_lang >= {LEAST} and smallest < {LEAST}"
+    add("fed", f"{mine} union all {lang} union all select {ALL}, {', '.join(STATS)} from good join sizes using (lang, source) where few < {LEAST}")
+
+    def reached(rows: str, keys: str, value: str, share: float) -> str:
+        each = f"select *, sum(c) over (partition by {keys} order by {value}) as cum, sum(c) over (partition by {keys}) as total from (select {keys}, {value}, count(*) as c from {rows} group by all)"
+        return f"select {keys}, min({value}) as mid from ({each}) where cum >= ceil({share}e0 * total) group by {keys}"
+
+    add("long", " union all ".join(f"select pool, {i} as k, {x} as x from fed" for i, x in enumerate(STATS)))
+    add("middle", reached("long", "pool, k", "x", 0.5))
+    add("off", "select pool, k, abs(x - mid) as away from long join middle using (pool, k)")
+    add("spread", reached("off", "pool, k", "away", 0.5))
+    add("first", "select pool, " + ", ".join(f"max(middle.mid) filter (k = {i}) as mid{i}, max(spread.mid) filter (k = {i}) as mad{i}" for i in range(P)) + " from middle join spread using (pool, k) group by pool")
+    add("scaled", f"select fed.*, {', '.join(_SCALED)} from fed join first using (pool)")
     cols = ", ".join(STATS)
-    bins = lambda d: f"least(cast(floor(64 * {d}) as bigint), {BINS}) as bin"
-    add("b0", f"select lang, source, 0 as start, {cols}, {bins(eu)} from scaled union all select lang, source, 1, {cols}, {bins(mx)} from scaled")
-    for t in range(STEPS + 1):
-        add(f"near{t}", f"""select lang, source, start, min(bin) as last_bin from (select *, sum(c) over (partition by lang, source, start order by bin) as cum,
-          sum(c) over (partition by lang, source, start) as total from (select lang, source, start, bin, count(*) as c from b{t} group by all)) where {_REACHED} group by all""")
-        add(f"e{t}_0", f"select lang, source, start, {', '.join(_moments())} from b{t} join near{t} using (lang, source, start) where bin <= last_bin group by all")
+    add("b0", f"select pool, 0 as start, {cols}, {_bin(_EUCLID)} from scaled union all select pool, 1, {cols}, {_bin(_MAXIMUM)} from scaled")
+    for t in range(ORACLE_STEPS + 1):  # an estimate that no longer falls stays as it is
+        add(f"near{t}", reached(f"b{t}", "pool, start", "bin", SUBSET))
+        add(f"e{t}_0", f"select pool, start, {', '.join(_moments())} from b{t} join near{t} using (pool, start) where bin <= mid group by all")
         for k, level in enumerate(_estimate(), 1):
             add(f"e{t}_{k}", f"select *, {', '.join(level)} from e{t}_{k - 1}")
-        params = last
-        if t < STEPS:
-            add(f"z{t}_0", f"select good.*, p.* exclude (lang, source) from good join {params} p using (lang, source)")
+        if t:
+            add(f"p{t}", "select pool, start, " + ", ".join(f"case when e.det < p.det then e.{c} else p.{c} end as {c}" for c in _PARAMS) + f" from p{t - 1} p join {last} e using (pool, start)")
+        else:
+            add("p0", f"select pool, start, {', '.join(_PARAMS)} from {last}")
+        if t < ORACLE_STEPS:
+            add(f"z{t}_0", f"select fed.*, p.* exclude (pool) from fed join p{t} p using (pool)")
             for k, x in enumerate(_distance(), 1):
                 add(f"z{t}_{k}", f"select *, {x} from z{t}_{k - 1}")
-            add(f"b{t + 1}", f"select lang, source, start, {cols}, {bins('sqrt(d2)')} from {last}")
-    add("best", f"select lang, source, {', '.join(_PARAMS)} from {params} qualify row_number() over (partition by lang, source order by det, start) = 1")
-    add("f0", "select stats.*, best.* exclude (lang, source) from stats left join best using (lang, source)")
+            add(f"b{t + 1}", f"select pool, start, {cols}, {_bin('sqrt(d2)')} from {last}")
+    add("best", f"select pool, {', '.join(_PARAMS)} from p{ORACLE_STEPS} qualify row_number() over (partition by pool order by det, start) = 1")
+    add("w0", "select fed.*, best.* exclude (pool) from fed join best using (pool)")
+    for k, x in enumerate(_distance(), 1):
+        add(f"w{k}", f"select *, {x} from w{k - 1}")
+    add("r0", f"select pool, {', '.join(_moments())} from {last} where {_REWEIGHTED} group by pool")
+    for k, level in enumerate(_estimate(), 1):
+        add(f"r{k}", f"select *, {', '.join(level)} from r{k - 1}")
+    add("f0", f"select stats.*, r.* exclude (pool) from stats left join told_pool using (lang, source) left join (select pool, {', '.join(_PARAMS)} from {last}) r using (pool)")
     for k, x in enumerate(_distance(), 1):
         add(f"f{k}", f"select *, {x} from f{k - 1}")
-    return "with " + ",\n".join(ctes) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {CUTOFF * CONSISTENCY:.6f}e0, true) as kept from {last}"
+    return "with " + ",\n".join(ctes) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({_ACCEPTED}, false) as kept from {last}"
 
 
+#: Concentration steps that the SQL has written out; the estimates of the test data settle within them.
+ORACLE_STEPS = 16
 OP4_SQL = _oracle()

@@ -12,21 +12,6 @@ from conftest import SMALL
 from markfield.llm import chat, gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-LONG = " ".join(f"word{i % 997} stop" for i in range(20000))
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls, empty, very long, repeated rows, control characters, non-ASCII, and clashing extra columns."""
-    texts = [None, "", " \n\t", "one two", LONG, LONG, "Größe Ünïcode 日本語 ▁ x" * 9, "a\x00b\x0bc", "same line of six words here\n" * 5, "Released under the MIT License."]
-    rows = [(None if i == 3 else i, t, None if i == 2 else "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    rows += [rows[4], rows[1], (99, "same line of six words here\nsame line of 7 words here", "en", None, 1)]
-    df = spark.createDataFrame(rows, DOCS)
-    for extra in ("m", "d", "h", "b", "r", "x", "p", "kept", "fp", "node", "start", "salt"):
-        df = df.withColumn(extra, df.n_chars)
-    return df
-
-
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, same_as_sql, name):
     assert same_as_sql(queries.QUERIES[name](spark, SMALL), queries.SQL[name]) > 0
@@ -186,15 +171,6 @@ def test_native_operators_on_odd_rows(spark, odd):
         assert f(empty).count() == 0
 
 
-def test_mcd_finds_planted_outliers(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(0, 100, (400, 5)).astype(int)
-    x[:40] += 3000
-    rows = [("en", "s", *map(int, r)) for r in x]
-    p = quality.mcd(spark.createDataFrame(rows, "lang string, source string, x1 long, x2 long, x3 long, x4 long, x5 long")).first()
-    assert np.abs([p[f"m{i}"] for i in range(5)]).max() < 60
-
-
 def test_warc_empty_and_damage(spark):
     pages = spark.createDataFrame([(i, f"u{i}", None if i % 5 == 0 else "h" * i) for i in range(50)] + [(None, None, None)], "page_id long, url string, html string")
     a = warc.leaves(warc.warc_records(pages))
