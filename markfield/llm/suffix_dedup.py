@@ -409,7 +409,7 @@ def _resolve(buckets: int):
 def _finish(length: int, text_too: bool):
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for k, doc in enumerate(have.doc):
             raw = have.text[k]
             found = have.of(k)
@@ -427,10 +427,11 @@ def _finish(length: int, text_too: bool):
                 keep.append(raw[at:a])
                 at = b
             rest = b"".join([*keep, raw[at:]])
-            for to, x in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if text_too else None), strict=True):
+            for to, x in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if text_too else None, xxhash.xxh64_intdigest(raw, 42)), strict=True):
                 to.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        out[6] = np.array(out[6], np.uint64).view(np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "h"])
 
     return run
 
@@ -440,8 +441,8 @@ PACKED = "b int, kind int, blob binary"
 
 def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans long, kept_sha256 string, kept string (the remaining bytes as text, if
-    asked for; bytes of characters that were cut are left out) of
-    every row of docs (doc_id, text)."""
+    asked for; bytes of characters that were cut are left out) and h long (xxhash64 of the text) of every row of docs
+    (doc_id, text).  Rows with the same doc_id and text have the same result."""
     spark = docs.sparkSession
     importable(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -473,9 +474,9 @@ def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
     by = docs.mapInArrow(packed_docs, PACKED)
     contexts = by.groupBy("b").cogroup(shared.unionByName(known).groupBy("b")).applyInArrow(_contexts(buckets), PACKED)
     ranges = cut(contexts.groupBy("b").applyInArrow(_resolve(buckets), PACKED))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, h long"
     return by.groupBy("b").cogroup(ranges.unionByName(known).groupBy("b")).applyInArrow(_finish(LENGTH, text_too), schema)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return dedup(table(spark, sf_dir, "documents")).drop("kept", "h")
