@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
-import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -26,7 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="markfield-")
-        _own.append(found)
         atexit.register(shutil.rmtree, found, True)
         sc._conf.set("spark.checkpoint.dir", found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -35,34 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and return the written table: lineage ends there, so an executor
-    that is lost later costs no recomputation, and what reads it twice does not compute it twice.  The written tables of
-    a session go when it ends."""
+    that is lost later costs no recomputation, and what reads it twice does not compute it twice.  The driver's file
+    system deletes the table when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/markfield-{uuid.uuid4().hex}"
-    if not _written and not _own:
-        atexit.register(_sweep, spark)
-    _written.append(path)
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders that this driver has written, and the temporary one that it made itself.
-_written: list[str] = []
-_own: list[str] = []
-
-
-def _sweep(spark: SparkSession) -> None:
-    """Deletes what cut has written.  A session that was stopped before cannot, and says so."""
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception as e:  # noqa: BLE001  the context is gone with its gateway
-        print(f"markfield: {len(_written)} folders stay in spark.checkpoint.dir ({e})", file=sys.stderr)
-        return
-    for path in _written:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def importable(spark: SparkSession) -> None:
     """Let Python workers that are started from now on import this package from where the driver has it (where it is
     shipped or installed, this changes nothing)."""
