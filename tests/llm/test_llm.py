@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from markfield.llm import chat, gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, warc
+from markfield.llm import gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -149,16 +149,6 @@ def test_pieces(spark, odd):
     assert back == {r.text or "" for r in odd.collect()}
 
 
-def test_chat(spark):
-    rows = [(1, 0, "user", None), (1, 1, "assistant", "<\\s> </s>"), (1, 2, "user", "tail [INST]"), (2, 0, None, "<|end|>"), (None, 0, "assistant", "x"), (1, 1, "assistant", "<\\s> </s>")]
-    e = chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    back = {r.conv_id: r for r in chat.read_back(e).collect()}
-    assert [tuple(t) for t in back[1].turns] == [("user", ""), ("assistant", "<\\s> </s>"), ("assistant", "<\\s> </s>"), ("user", "tail [INST]")]
-    assert back[1].loss_text == "<\\s> </s>" * 2 and back[2].loss_text == "" and back[None].loss_text == "x"
-    whole = [r for r in chat.expanded(e).collect() if r.conv_id == 1]
-    assert len(whole) == 2 and all(chat.END in r.text for r in whole)
-
-
 def test_native_operators_on_odd_rows(spark, odd):
     assert licenses.scan(odd).where("labels = 'mit'").count() == 1
     kept = line_dedup.dedup_lines(odd).collect()
