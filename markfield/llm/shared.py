@@ -36,11 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     that is lost later costs no recomputation, and what reads it twice does not compute it twice.  The driver's file
     system deletes the table when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/markfield-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/markfield-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def importable(spark: SparkSession) -> None:

@@ -1,52 +1,128 @@
 """Operator 5: Merkle fixity audit of WARC replicas.
 
-Pages are laid out as WARC response records in files; a record is known by its file and the offset that the index
-recorded for it.  Each replica gets a tree: leaves are SHA-256 of records, the next level hashes the leaves of an
-offset range, every further level FAN neighbours, up to a root a file and, over files, one root.  Two replicas are
-compared from the root down: only children of nodes that differ are looked at, so work after hashing follows the
-damage, not the archive.
-
-Every group is a fixed offset range or FAN children, so none grows with the archive.
-
-Defined cases: null url or html is empty; a null page_id is 0's left neighbour (file -1); equal page_ids follow each
-other by content; empty archives have no root, and all records of the other one are missing or extra; other columns
-are ignored.
+Pages are written as WARC files (gzipped, one record a page, FILE_PAGES page_ids a file) to the shared folder, and an
+audit reads the files of each replica: records are found by their headers, a region without a valid header is one record
+up to where the next begins.  Each replica gets a tree of its own bytes: leaves are SHA-256 of records, the next level
+hashes the leaves of an offset range, every further level FAN neighbours, up to a root a file and, over files, one root.
+Two replicas are compared from the root down: only children of nodes that differ are looked at, so work after hashing
+follows the damage, not the archive.
+
+Every group is a fixed offset range or FAN children, so none grows with the archive; a task holds one file.
+
+Defined cases: null url or html is empty; pages without a page_id are dealt to NULL_FILES files of their own by content;
+equal page_ids follow each other by content; an empty archive has no root, and all records of the other one are missing
+or extra; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markfield.llm.shared import cut, table
+from markfield.llm.shared import cut, delete_at_exit, importable, new_folder, table
 
-FILE_PAGES, RANGE, FAN = 2048, 1 << 18, 64
+FILE_PAGES, NULL_FILES, RANGE, FAN = 1024, 4096, 1 << 18, 64
+CRLF = "\r\n"
+_HEAD = re.compile(rb"WARC/1\.0\r\n(?:[^\r\n]+\r\n)*?Content-Length: (\d+)\r\n(?:[^\r\n]+\r\n)*\r\n")
+_PAGE = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+)>\r\n")
+_END, _NEXT = b"\r\n\r\n", b"\r\n\r\nWARC/1.0\r\n"
 
 
-def warc_records(pages: DataFrame, copied: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """page_id, file, offset, length long, record string (the bytes of the WARC file are the records by offset), sha (of
-    the bytes).  copied: the bytes that a replica has for a record, from page_id and record; their digest is copy_sha."""
+def records_of(pages: DataFrame) -> DataFrame:
+    """file long, page_id long, record string (without the two line ends that follow it)."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
+    page = F.col("page_id").cast("long")
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.regexp_replace(url, "[\r\n]", "%0A"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
+        F.lit(f"WARC/1.0{CRLF}WARC-Type: resource{CRLF}WARC-Target-URI: "), F.regexp_replace(url, "[\r\n]", "%0A"),
+        F.lit(f"{CRLF}WARC-Date: 1970-01-01T00:00:00Z{CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("")),
+        F.lit(f">{CRLF}Content-Type: text/html{CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF + CRLF),
     )
-    page = F.col("page_id").cast("long")
-    made = pages.select(page.alias("page_id"), F.coalesce(F.floor(page / FILE_PAGES), F.lit(-1)).cast("long").alias("file"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "sha").rowsBetween(Window.unboundedPreceding, -1)
-    made = made.withColumns({"length": F.octet_length("record").cast("long"), "sha": F.sha2(F.col("record").cast("binary"), 256)})
-    if copied is not None:
-        made = made.withColumn("copy_sha", F.sha2(copied(F.col("page_id"), F.col("record").cast("binary")), 256))
-    # Only sizes and digests go through the shuffle of the running sum; records are hashed where they are read.
-    return made.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    file = F.when(page.isNotNull(), F.floor(page / FILE_PAGES)).otherwise(-1 - F.pmod(F.xxhash64(url, html), F.lit(NULL_FILES)))
+    return pages.select(file.cast("long").alias("file"), page.alias("page_id"), F.concat(head, html).alias("record"))
+
+
+def _write(ordered: DataFrame, path: str) -> str:
+    """Files of ordered (file, record), each from one task.  The text writer ends every record with two line ends."""
+    ordered.select("file", "record").write.partitionBy("file").option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    delete_at_exit(ordered.sparkSession, path)
+    return path
+
+
+def write_archive(pages: DataFrame) -> str:
+    """Writes the WARC files of all pages to a new shared folder and returns it."""
+    made = records_of(pages).withColumn("sha", F.sha2(F.col("record").cast("binary"), 256))
+    return _write(made.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), "sha"), new_folder(pages.sparkSession))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    return found.select(F.regexp_extract("path", r"file=(-?\d+)/", 1).cast("long").alias("file"), "content")
+
+
+def spans(data: bytes) -> Iterator[tuple[int, int]]:
+    """Begin and end of every record of a WARC file."""
+    at = 0
+    while at < len(data):
+        m = _HEAD.match(data, at)
+        end = m.end() + int(m[1]) + len(_END) if m else 0
+        if not m or data[end - len(_END) : end] != _END:
+            next_ = data.find(_NEXT, at)
+            end = next_ + len(_END) if next_ >= 0 else len(data)
+        yield at, end
+        at = end
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """file, node (the offset), hash, page_id of every record."""
-    return records.select("file", F.col("offset").alias("node"), F.sha2(F.concat(F.lit("leaf"), "sha").cast("binary"), 256).alias("hash"), "page_id")
+def leaves(spark: SparkSession, path: str) -> DataFrame:
+    """file, node (the offset), hash, page_id of every record of an archive, from its bytes."""
+    importable(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, blob in zip(b["file"].to_pylist(), b["content"], strict=True):
+                data = memoryview(unpacked(blob.as_buffer()))
+                rows = [(file, a, hashlib.sha256(b"leaf" + data[a:z]).hexdigest(), page_of(data[a:z])) for a, z in spans(data.obj)]
+                yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["file", "node", "hash", "page_id"])
+
+    return _files(spark, path).mapInArrow(run, "file long, node long, hash string, page_id long")
+
+
+def unpacked(blob) -> bytes:
+    """All gzip members of a file."""
+    out, rest = [], bytes(blob)
+    while rest:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(rest))
+        rest = z.unused_data
+    return b"".join(out)
+
+
+def page_of(record: memoryview) -> int | None:
+    m = _PAGE.search(record[:65536])
+    return int(m[1]) if m else None
+
+
+def copy_archive(spark: SparkSession, path: str, change: Callable[[int, int | None, bool, bytes], list[bytes]]) -> str:
+    """Copies an archive record by record to a new shared folder and returns it.  change: what the copy has in place of a
+    record, from file, page_id, whether it is the file's last, and its bytes without the line ends that follow it."""
+    importable(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, blob in zip(b["file"].to_pylist(), b["content"], strict=True):
+                data = unpacked(blob.as_buffer())
+                found, rows = list(spans(data)), []
+                for k, (a, z) in enumerate(found):
+                    rows += change(file, page_of(memoryview(data)[a:z]), k == len(found) - 1, data[a : z - len(_END)])
+                yield pa.record_batch([pa.array([file] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["file", "at", "record"])
+
+    made = _files(spark, path).mapInArrow(run, "file long, at long, record binary").withColumn("record", F.col("record").cast("string"))
+    return _write(made.sortWithinPartitions("file", "at"), new_folder(spark))
 
 
 def tree(leaf: DataFrame, span: int, n_files: int) -> list[DataFrame]:
@@ -103,32 +179,28 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return suspects.join(known, ["file", "node"]).select("file", F.col("node").alias("offset"), "page_id", status.alias("status"))
 
 
-def damaged(page: Column, record: Column) -> Column:
-    """The record's bytes; where page_id % 97 = 3 the byte in the middle is another one."""
-    at = F.octet_length(record) / 2 + 1
-    byte = F.when(F.substring(record, at.cast("int"), 1) == F.lit(b"x"), F.lit(b"y")).otherwise(F.lit(b"x"))
-    return F.when(page % 97 == 3, F.overlay(record, byte, at.cast("int"), 1)).otherwise(record)
-
-
-def replica(records: DataFrame) -> DataFrame:
-    """The records that the replica has, with the digests of its own bytes, where the archive's index has them."""
-    own = records.withColumn("sha", F.col("copy_sha"))
-    stray = own.where("page_id % 1511 = 7").withColumn("offset", F.col("offset") + 1)
-    return own.where("page_id is null or page_id % 1013 <> 5").unionByName(stray)
+def damage(file: int, page: int | None, last: bool, record: bytes) -> list[bytes]:
+    """What the audited replica has: where page_id % 97 = 3 the byte in the middle is another one; files whose number is 5
+    modulo 13 have lost their last record, those at 7 have it twice."""
+    if last and file % 13 == 5:
+        return []
+    if page is not None and page % 97 == 3:
+        at = len(record) // 2
+        record = record[:at] + (b"y" if record[at : at + 1] == b"x" else b"x") + record[at + 1 :]
+    return [record, record] if last and file % 13 == 7 else [record]
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which page_id % 97 = 3 has one changed byte, % 1013 = 5 is lost and
-    % 1511 = 7 has a stray record one byte after its own.  Both sides are hashed from their own bytes."""
-    records = cut(warc_records(table(spark, sf_dir, "pages"), damaged).drop("record"))
-    return audit(leaves(records), leaves(replica(records)))
+    """The archive of all pages against its replica with `damage`; both are written as WARC files and hashed from them."""
+    archive = write_archive(table(spark, sf_dir, "pages"))
+    return audit(leaves(spark, archive), leaves(spark, copy_archive(spark, archive, damage)))
 
 
+_LEN = "strlen('WARC/1.0~~WARC-Type: resource~~WARC-Target-URI: ~~WARC-Date: 1970-01-01T00:00:00Z~~WARC-Record-ID: <urn:page:>~~Content-Type: text/html~~Content-Length: ~~~~~~~~')"
 OP5_SQL = f"""
-with r as (select page_id, cast(coalesce(floor(cast(page_id as double) / {FILE_PAGES}), -1) as bigint) as file,
-  strlen('WARC/1.0~~WARC-Type: response~~WARC-Target-URI: ') + strlen(coalesce(url, '')) + strlen('~~WARC-Record-ID: <urn:page:') + strlen(coalesce(cast(page_id as varchar), ''))
-  + strlen('>~~Content-Type: text/html~~Content-Length: ') + strlen(cast(strlen(coalesce(html, '')) as varchar)) + strlen(coalesce(html, '')) + 8 as length from pages),
-o as (select *, coalesce(sum(length) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as pos from r)
-select file, cast(pos as bigint) as "offset", page_id, case when page_id % 1013 = 5 then 'missing' else 'altered' end as status from o where page_id % 97 = 3 or page_id % 1013 = 5
-union all select file, cast(pos + 1 as bigint), page_id, 'extra' from o where page_id % 1511 = 7
+with r as (select page_id, page_id // {FILE_PAGES} as file,
+  {_LEN} + strlen(regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g')) + strlen(cast(page_id as varchar)) + strlen(cast(strlen(coalesce(html, '')) as varchar)) + strlen(coalesce(html, '')) as length from pages where page_id >= 0),
+o as (select *, cast(coalesce(sum(length) over w, 0) as bigint) as pos, page_id = max(page_id) over (partition by file) as last from r window w as (partition by file order by page_id rows between unbounded preceding and 1 preceding))
+select file, pos as "offset", page_id, case when last and file % 13 = 5 then 'missing' else 'altered' end as status from o where page_id % 97 = 3 or last and file % 13 = 5
+union all select file, pos + length, page_id, 'extra' from o where last and file % 13 = 7
 """

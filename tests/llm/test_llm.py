@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from markfield.llm import gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup, warc
+from markfield.llm import gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -161,13 +161,6 @@ def test_native_operators_on_odd_rows(spark, odd):
         assert f(empty).count() == 0
 
 
-def test_warc_empty_and_damage(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", None if i % 5 == 0 else "h" * i) for i in range(50)] + [(None, None, None)], "page_id long, url string, html string")
-    a = warc.leaves(warc.warc_records(pages))
-    assert warc.audit(a, a).count() == 0
-    assert {r.status for r in warc.audit(a, a.limit(0)).collect()} == {"missing"}
-
-
 def test_completion_is_exact():
     rng = random.Random(1)
     for _ in range(500):
