@@ -28,6 +28,10 @@ class Spark:
     def seq(self, a, b, name: str) -> str:
         return f"(select explode(sequence(cast({a} as bigint), cast({b} as bigint))) as {name})"
 
+    def upto(self, n, name: str) -> str:
+        """A select item that makes rows 0 .. n - 1 of each row (none for n = 0)."""
+        return f"explode(case when {n} > 0 then sequence(0L, cast({n} as bigint) - 1) else array() end) as {name}"
+
     def match(self, s: str, pattern: str) -> str:
         return f"({s} rlike r'{pattern}')"
 
@@ -68,6 +72,9 @@ class Duck(Spark):
     def seq(self, a, b, name: str) -> str:
         return f"(select unnest(range({a}, {b} + 1)) as {name})"
 
+    def upto(self, n, name: str) -> str:
+        return f"unnest(range(cast({n} as bigint))) as {name}"
+
     def match(self, s: str, pattern: str) -> str:
         return f"regexp_matches({s}, '{pattern}')"
 
@@ -113,8 +120,10 @@ def clamp01(x) -> str:
 
 
 def reflect(i, n) -> str:
-    """Mirror at the borders without repeating the edge, for places at most n - 1 outside."""
-    return f"(case when {n} = 1 then 0 when ({i}) < 0 then -({i}) when ({i}) >= {n} then 2 * {n} - 2 - ({i}) else ({i}) end)"
+    """Mirror at the borders without repeating the edge, as often as it takes: a triangle wave of period 2n - 2."""
+    period = f"greatest(2 * {n} - 2, 1)"
+    wave = f"((({i}) % {period} + {period}) % {period})"
+    return f"(case when {n} = 1 then 0 when {wave} >= {n} then {period} - {wave} else {wave} end)"
 
 
 def pearson(n, sx, sy, sxx, syy, sxy) -> str:

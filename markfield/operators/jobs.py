@@ -8,19 +8,35 @@ from markfield.functions.dialect import clamp, fl, jsround
 
 # Limits and defaults.
 MAX_ITEMS, MAX_BYTES, RESERVE = 40, 220 * 1024 * 1024, 48 * 1024 * 1024
-FIRST_ESTIMATE = 16.0
-OOM = "(?i)out of memory|memory allocation|failed to allocate|bad_alloc|allocation failed|oom|array buffer allocation"
+FIRST_ESTIMATE = {"int8": 16.0, "fp32": 40.0}
+# Messages of errors that mean out of memory, of inputs that cannot be read any more, and of a worker that
+# has to be built anew.
+OOM = (
+    "out of memory", "memory access out of bounds", "could not allocate memory", "cannot enlarge memory", "allocation failed", "std::bad_alloc",
+    r"aborted\s*\(\s*oom\s*\)",
+)
+UNREADABLE = "解码|打不开|decode|Load failed|TypeError"
+POISONED = "120 秒|初始化超过|内存不足|推理超时|推理线程"
+# Texts of the states, prefixes of output names, and the labels of the sources in their order.
+SELECT_AGAIN, OUT_OF_MEMORY = "这张图片来自上次缓存，数据已失效，请重新选择图片", "设备内存不足；建议使用 INT8、关闭其他 Safari 标签页后重试"
+WAITING, WORKING, DONE, NO_MARK, NO_OCR, KEPT, NOT_STORED, FAILED, UNKNOWN = "等待处理", "处理中", "已去除", "未识别水印", "文字识别暂不可用", "保持原图", " · 结果未落盘", "失败：", "未知原因"
+CLEAN, ORIGINAL = "去水印", "原图"
+SOURCES = ("jsDelivr", "HuggingFace", "同源 Pages")
+RETRIES, SLOW = 4, 120 * 1024
 
 
 def items(d) -> str:
-    ext = "case doc_id % 7 when 0 then '.jpg' when 1 then '.JPEG' when 2 then '.png' when 3 then '.webp' when 4 then '.heic' when 5 then '' else '.tar.gz' end"
+    """Files of a queue: documents stand in, MAX_ITEMS a batch."""
+    ext = "case doc_id % 7 when 0 then '.jpg' when 1 then '.JPEG' when 2 then '.png' when 3 then '.webp' when 4 then '.heic' when 5 then '' else '.tar.gz~' end"
     status = "case doc_id % 6 when 0 then 'pending' when 1 then 'running' when 2 then 'done' when 3 then 'unchanged' when 4 then 'failed' else 'done' end"
     return f"""it as (select doc_id as id, concat(source, '-', cast(doc_id as varchar(20)), {ext}) as name, case doc_id % 5 when 0 then 'image/jpeg' when 1 then 'image/webp' when 2 then 'image/heic' when 3 then 'image/heif' else null end as mime,
-      n_chars as size, {status} as status, case when doc_id % 4 = 0 then 'int8' when doc_id % 9 = 0 then null else 'fp32' end as model, source as batch, doc_id % 8 = 3 as persisted, doc_id % 3 = 0 as has_blob from {d.t('documents')})"""
+      case when doc_id % 23 = 0 then 0 else n_chars end as size, {status} as status, case when doc_id % 4 = 0 then 'int8' when doc_id % 9 = 0 then null else 'fp32' end as model, {d.idiv('doc_id', MAX_ITEMS)} as batch, doc_id % 8 = 3 as persisted, doc_id % 3 = 0 as has_blob,
+      case when doc_id % 10 = 0 then '.png' end as output_ext, lang as provider, doc_id % 4 as regions, concat(cast(doc_id % 90 as varchar(20)), ' s') as elapsed, doc_id % 12 = 2 as not_stored, doc_id % 18 = 3 as no_ocr,
+      case when doc_id % 12 = 1 then concat('step ', cast(doc_id % 5 as varchar(20))) end as progress, case when doc_id % 24 = 4 then null else concat('E', cast(doc_id % 7 as varchar(20))) end as error from {d.t('documents')})"""
 
 
 def accept_files(d):
-    return f"with {items(d)} select id, name from it where size > 100 and name is not null"
+    return f"with {items(d)} select id, name from it where size > 0 and name is not null"
 
 
 def needs_processing(d):
@@ -32,44 +48,81 @@ def has_result(d):
 
 
 def state_text(d):
-    return f"with {items(d)} select id, case status when 'pending' then 'waiting' when 'running' then 'working' when 'done' then 'finished' when 'unchanged' then 'kept as it was' else concat('failed: ', name) end as label from it"
+    stored = f"case when not_stored then '{NOT_STORED}' else '' end"
+    return f"""with {items(d)} select id, case status when 'pending' then '{WAITING}' when 'running' then coalesce(progress, '{WORKING}')
+      when 'done' then concat('{DONE} · ', coalesce(provider, ''), ' · ', cast(case when coalesce(regions, 0) = 0 then 1 else regions end as varchar(20)), ' 处 · ', elapsed, {stored})
+      when 'unchanged' then concat(case when no_ocr then '{NO_OCR}' else '{NO_MARK}' end, ' · {KEPT}', {stored}) else concat('{FAILED}', coalesce(error, '{UNKNOWN}')) end as label from it"""
+
+
+def errors(d) -> str:
+    return f"""e as (select event_id as id, event_id % 2 = 0 as restored, case event_id % 12 when 0 then 'RangeError: Out of Memory' when 1 then 'std::bad_alloc' when 2 then 'Error: room is full' when 3 then 'Aborted ( OOM )' when 4 then 'memory access out of bounds'
+      when 5 then 'The image could not be decoded' when 6 then '推理超时' when 7 then '初始化超过 120 秒' when 8 then 'Array buffer allocation failed' when 9 then 'RangeError: invalid array length' when 10 then 'Load failed' else event_type end as message from {d.t('events')})"""
+
+
+def is_oom(d, message: str) -> str:
+    return d.match(message, f"(?i){'|'.join(OOM)}")
+
+
+def friendly(d, message: str, restored: str) -> str:
+    return f"case when {restored} and {d.match(message, '(?i)' + UNREADABLE)} then '{SELECT_AGAIN}' else {message} end"
 
 
 def error_class(d):
-    return f"""with e as (select event_id as id, event_id % 2 = 0 as restored, case event_id % 4 when 0 then 'The image could not be decoded' when 1 then 'NotReadableError' when 2 then 'network timeout' else event_type end as message from {d.t('events')})
-    select id, case when restored and {d.match('message', '(?i)decode|notreadable')} then 'select the file again' else message end as text from e"""
+    return f"with {errors(d)} select id, {friendly(d, 'message', 'restored')} as text from e"
 
 
 def oom_classify(d):
-    return f"""with e as (select event_id as id, case event_id % 6 when 0 then 'RangeError: Out of Memory' when 1 then 'std::bad_alloc' when 2 then 'Error: room is full' when 3 then 'failed to allocate 12' when 4 then 'Array buffer allocation failed' else event_type end as message from {d.t('events')})
-    select id, {d.match('message', OOM)} as oom from e"""
+    return f"with {errors(d)} select id, {is_oom(d, 'message')} as oom from e"
 
 
-def output_format(d):
-    return f"with {items(d)} select id, case when {d.match('name', '(?i)[.]jpe?g$')} then 'image/jpeg' else 'image/png' end as mime, case when {d.match('name', '(?i)[.]jpe?g$')} then '.jpg' else '.png' end as ext from it"
+def session_poison(d):
+    """Errors after which the worker is built anew, judged on the text that the user sees."""
+    return f"with {errors(d)}, t as (select id, case when {is_oom(d, 'message')} then '{OUT_OF_MEMORY}' else {friendly(d, 'message', 'restored')} end as text from e) select id, text, {d.match('text', POISONED)} as rebuild from t"
+
 
+def _ext(name: str = "name") -> str:
+    return f"lower(regexp_extract({name}, '[.][^.]+$', 0))"
 
-def _suffix(d) -> str:
-    return f"case when {d.match('name', '[.][A-Za-z0-9]+$')} then {d.replace('name', '^.*([.][A-Za-z0-9]+)$', '$1' if d.name == 'spark' else chr(92) + '1')} end"
+
+def _output_ext() -> str:
+    return f"case when {_ext()} in ('.jpg', '.jpeg') then '.jpg' else '.png' end"
+
+
+def output_format(d):
+    return f"with {items(d)} select id, case when {_ext()} in ('.jpg', '.jpeg') then 'image/jpeg' else 'image/png' end as mime, {_output_ext()} as ext, case when {_ext()} in ('.jpg', '.jpeg') then 0.95 end as quality from it"
 
 
 def original_format(d):
-    return f"with {items(d)} select id, coalesce(lower({_suffix(d)}), case mime when 'image/jpeg' then '.jpg' when 'image/webp' then '.webp' when 'image/heic' then '.heic' when 'image/heif' then '.heif' end, '.png') as ext from it"
+    known = "case mime when 'image/jpeg' then '.jpg' when 'image/webp' then '.webp' when 'image/heic' then '.heic' when 'image/heif' then '.heif' else '.png' end"
+    return f"with {items(d)} select id, case when {_ext()} <> '' then {_ext()} else {known} end as ext, coalesce(mime, case when {_ext()} <> '' then 'application/octet-stream' else 'image/png' end) as mime from it"
+
+
+def _stem(d) -> str:
+    return d.replace("name", "[.][^.]+$", "")
+
+
+def _prefix() -> str:
+    return f"case when status = 'done' then '{CLEAN}' else '{ORIGINAL}' end"
 
 
 def output_name(d):
-    return f"with {items(d)} select id, concat(case when status = 'unchanged' then 'original_' else 'clean_' end, {d.replace('name', '[.][^.]+$', '')}, '.png') as name from it where status in ('done', 'unchanged')"
+    return f"with {items(d)} select id, concat({_prefix()}, '-', {_stem(d)}, coalesce(output_ext, {_output_ext()})) as name from it where status in ('done', 'unchanged')"
+
+
+def zip_names(d) -> str:
+    number = "case when i < 1000 then lpad(cast(i as varchar(20)), 3, '0') else cast(i as varchar(20)) end"
+    return f"""{items(d)}, n as (select *, row_number() over (partition by batch order by id) as i from it where status in ('done', 'unchanged')),
+    z as (select id, batch, i, size, concat({_prefix()}, '-', {number}, '-', {_stem(d)}, coalesce(output_ext, {_output_ext()})) as entry from n)"""
 
 
 def zip_entry_names(d):
-    return f"""with {items(d)}, n as (select id, batch, name, status, row_number() over (partition by batch order by id) as i from it where status in ('done', 'unchanged'))
-    select id, concat(case when i < 1000 then lpad(cast(i as varchar(20)), 3, '0') else cast(i as varchar(20)) end, '_', case when status = 'unchanged' then 'original_' else 'clean_' end, name) as entry from n"""
+    return f"with {zip_names(d)} select id, entry from z"
 
 
 def zip_layout(d):
     """Local header offsets of stored entries: a running sum; the central directory follows."""
-    size = f"30 + {'octet_length(name)' if d.name == 'spark' else 'strlen(name)'} + size"
-    return f"with {items(d)} select id, batch, cast(coalesce(sum({size}) over (partition by batch order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as at, cast(sum({size}) over (partition by batch) as bigint) as central from it"
+    size = f"30 + {'octet_length(entry)' if d.name == 'spark' else 'strlen(entry)'} + size"
+    return f"with {zip_names(d)} select id, batch, cast(coalesce(sum({size}) over (partition by batch order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as at, cast(sum({size}) over (partition by batch) as bigint) as central from z"
 
 
 def dos_datetime(d):
@@ -77,10 +130,24 @@ def dos_datetime(d):
     return f"select event_id as id, cast({h} * 2048 + {mi} * 32 + {fl(f'{fl(s)} / 2.0')} as bigint) as time_, cast(greatest(0, {y} - 1980) * 512 + {mo} * 32 + {da} as bigint) as date_ from {d.t('events')}"
 
 
+def adds(d) -> str:
+    """Files that are added to a customer's list at once: an order's lines, with sizes."""
+    return f"ad as (select o_custkey as list, o_orderkey as n, count(*) as files, cast(sum(l_quantity) as bigint) * 300000 as bytes from {d.t('orders')} join {d.t('lineitem')} on l_orderkey = o_orderkey group by o_custkey, o_orderkey)"
+
+
 def batch_admission(d):
-    """Limits in queue order: too many items first, then too many bytes."""
-    return f"""with {items(d)}, r as (select id, batch, row_number() over (partition by batch order by id) as n, sum(size * 9000) over (partition by batch order by id) as bytes from it)
-    select id, case when n > {MAX_ITEMS} then 'items' when bytes > {MAX_BYTES} then 'bytes' else '' end as reason from r"""
+    """An addition is taken whole or not at all, by what the list would hold: too many items first, then too many bytes."""
+    fits = f"s.files + e.files <= {MAX_ITEMS} and s.bytes + e.bytes <= {MAX_BYTES}"
+    why = f"case when s.files + e.files > {MAX_ITEMS} then '超过 {MAX_ITEMS} 张' when s.bytes + e.bytes > {MAX_BYTES} then '原图超过 {MAX_BYTES // 1048576}MB' else '' end"
+    if d.name == "spark":
+        out = f"array_append(s.out, named_struct('n', e.n, 'reason', {why}))"
+        step = f"named_struct('files', case when {fits} then s.files + e.files else s.files end, 'bytes', case when {fits} then s.bytes + e.bytes else s.bytes end, 'out', {out})"
+        zero = "named_struct('files', 0L, 'bytes', 0L, 'out', cast(array() as array<struct<n:bigint,reason:string>>))"
+        return f"with {adds(d)} select list, o.n as n, o.reason as reason from (select list, explode(aggregate(array_sort(collect_list(struct(n, files, bytes))), {zero}, (s, e) -> {step}).out) as o from ad group by list) z"
+    return f"""with recursive {adds(d)}, r as (select *, row_number() over (partition by list order by n) as i from ad),
+    w(list, i, n, files, bytes, reason) as (select list, cast(0 as bigint), cast(null as bigint), cast(0 as bigint), cast(0 as hugeint), '' from (select distinct list from ad) u union all
+      select e.list, e.i, e.n, case when {fits} then s.files + e.files else s.files end, case when {fits} then s.bytes + e.bytes else s.bytes end, {why} from w s join r e on e.list = s.list and e.i = s.i + 1)
+    select list, n, reason from w where i > 0"""
 
 
 def batch_bytes(d):
@@ -92,15 +159,11 @@ def batch_totals(d):
 
 
 def queue_summary(d):
-    """Counts by status; stale rows (another model's result) are counted besides."""
-    tests = {
-        "done": "status = 'done'",
-        "unchanged": "status = 'unchanged'",
-        "failed": "status = 'failed'",
-        "pending": "status in ('pending', 'running')",
-        "stale": "status in ('done', 'unchanged', 'failed') and coalesce(model, '') <> 'int8'",
-    }
-    return f"with {items(d)} select batch, " + ", ".join(f"cast({d.count_if(t)} as bigint) as {n}" for n, t in tests.items()) + " from it group by batch"
+    """Counts by status.  Stale rows have another model's result and are not pending; they are counted besides, and what is
+    shown as to be done is pending and stale ones."""
+    stale = "model is not null and model <> 'int8' and status <> 'pending'"
+    tests = {"done": "status = 'done'", "unchanged": "status = 'unchanged'", "failed": "status = 'failed'", "pending": "status = 'pending'", "stale": stale, "to_do": f"status = 'pending' or ({stale})"}
+    return f"with {items(d)} select batch, count(*) as items, " + ", ".join(f"cast({d.count_if(t)} as bigint) as {n}" for n, t in tests.items()) + " from it group by batch"
 
 
 def capacity_check(d):
@@ -139,30 +202,39 @@ def passthrough_bytes(d):
 
 
 def crc32(d):
-    """CRC-32 by definition: one table step a byte, folded over the bytes of a name."""
+    """CRC-32 of whole contents."""
+    return f"select doc_id as id, crc32(cast(coalesce(text, '') as binary)) as crc from {d.t('documents')}"
+
+
+def timings(d) -> str:
+    return f"tm as (select user_id as model, case when user_id % 2 = 0 then 'int8' else 'fp32' end as kind, event_id as n, case when event_id % 7 = 0 then -value else value end as s from {d.t('events')})"
+
+
+def smoothed(d) -> str:
+    """Smoothed seconds of a model: an ordered fold from the model's first estimate, rounded to two places at every step;
+    what is not positive is ignored."""
+    first = f"case when kind = 'int8' then cast({FIRST_ESTIMATE['int8']} as double) else cast({FIRST_ESTIMATE['fp32']} as double) end"
+    step = "case when s is null or isnan(s) or s <= 0 then t else floor((0.65 * t + 0.35 * s) * 100 + 0.5) / 100 end"
     if d.name == "spark":
-        return f"with {items(d)} select id, crc32(cast(name as binary)) as crc from it"
-    step = "xor(crc >> 8, list_extract(tbl, cast(xor(crc, ascii(name[i + 1])) & 255 as integer) + 1))"
-    return f"""with recursive {items(d)}, t(n, k, v) as (select n, 0, n from (select unnest(range(256)) as n) s union all select n, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from t where k < 8),
-    tab as (select list(v order by n) as tbl from t where k = 8), walk(id, name, i, crc) as (select id, name, 0, 4294967295 from it union all select id, name, i + 1, {step} from walk cross join tab where i < length(name))
-    select id, xor(crc, 4294967295) as crc from walk where i = length(name)"""
+        return f"{timings(d)}, sm as (select model, kind, aggregate(transform(array_sort(collect_list(struct(n, s))), z -> z.s), {first}, (t, s) -> {step}) as t from tm group by model, kind)"
+    return f"""{timings(d)}, e as (select *, row_number() over (partition by model order by n) as r from tm),
+    walk(model, kind, r, t) as (select model, kind, cast(0 as bigint), {first} from (select distinct model, kind from tm) u union all select e.model, e.kind, e.r, {step} from walk w join e on e.model = w.model and e.r = w.r + 1),
+    sm as (select model, kind, t from walk qualify row_number() over (partition by model order by r desc) = 1)"""
+
+
+def _recursive(d) -> str:
+    return "with recursive" if d.name == "duck" else "with"
 
 
 def timing_ewma(d):
-    """Smoothed seconds an event type: an ordered fold, rounded to two places at every step; not positive is ignored."""
-    v = "case when event_id % 7 = 0 then -value else value end"
-    if d.name == "spark":
-        fold = f"aggregate(transform(array_sort(collect_list(struct(event_id, {v} as v))), z -> z.v), cast({FIRST_ESTIMATE} as double), (t, s) -> case when s is null or isnan(s) or s <= 0 then t else floor((0.65 * t + 0.35 * s) * 100 + 0.5) / 100 end)"
-        return f"select user_id as model, round({fold}, 2) as seconds from {d.t('events')} group by user_id"
-    return f"""with recursive e as (select user_id, {v} as s, row_number() over (partition by user_id order by event_id) as r from events),
-    walk(user_id, r, t) as (select user_id, cast(0 as bigint), cast({FIRST_ESTIMATE} as double) from (select distinct user_id from events) u union all
-      select e.user_id, e.r, case when s is null or isnan(s) or s <= 0 then t else floor((0.65 * t + 0.35 * s) * 100 + 0.5) / 100 end from walk w join e on e.user_id = w.user_id and e.r = w.r + 1)
-    select user_id as model, round(t, 2) as seconds from walk qualify row_number() over (partition by user_id order by r desc) = 1"""
+    return f"{_recursive(d)} {smoothed(d)} select model, round(t, 2) as seconds from sm"
 
 
 def batch_estimate(d):
-    return f"""with e as (select user_id as model, count(*) - 3 as n, round(avg(value), 2) as t from {d.t('events')} group by user_id), s as (select *, greatest(1, {jsround('t * n')}) as s from e)
-    select model, n <= 0 as hidden, case when n <= 0 then '' when s >= 60 then concat('~', cast(cast(ceil(s / 60.0) as bigint) as varchar(20)), ' min') else concat('~', cast(s as varchar(20)), ' s') end as text from s"""
+    """Time that is left for `n` images at the model's smoothed seconds: minutes from 60 seconds on, hidden for none."""
+    text = f"case when s >= 60 then concat('约 ', cast(cast(ceil(s / 60.0) as bigint) as varchar(20)), ' 分钟') else concat('约 ', cast(s as varchar(20)), ' 秒') end"
+    return f"""{_recursive(d)} {smoothed(d)}, c as (select model, t, model % 9 as n from sm), q as (select *, greatest(1, {jsround('t * n')}) as s from c)
+    select model, n, n <= 0 as hidden, case when n <= 0 then '' else concat(cast(n as varchar(20)), ' 张预计 ', {text}, '；请保持页面在前台，每完成一张会立即保存。') end as text from q"""
 
 
 def stratified_sample(d, n: int = 20):
@@ -172,9 +244,13 @@ def stratified_sample(d, n: int = 20):
 
 
 def parity_diff(d):
-    return f"""with e as (select l.doc_id, quality, toxic, d.source, 0.35 + (l.doc_id % 80) * 0.02 as gain from {d.t('labels')} l join {d.t('documents')} d on d.doc_id = l.doc_id),
-    a as (select doc_id, case when doc_id % 19 = 0 then 1 - quality else quality end as quality, toxic, gain + (doc_id % 5) * 0.01 as gain from e)
-    select e.doc_id, e.quality = a.quality and e.toxic = a.toxic and abs(e.gain - a.gain) <= 0.0215 as same from e join a using (doc_id)"""
+    """Expected and actual decisions by file: six fields are equal, the gain within 0.021 where one is expected, and files
+    called clean have no mark."""
+    at = "l.doc_id % 40 as x, l.doc_id % 30 as y, case when toxic = 1 then 48 else 96 end as size, l.doc_id % 6 as action, case when quality = 1 then 'cleaned' when toxic = 1 then 'needs-inpaint' else 'not-found' end as status, case when quality = 1 then 'reverse' else 'template' end as method"
+    same = " and ".join(f"e.{c} = a.{c}" for c in ("status", "method", "x", "y", "size", "action"))
+    return f"""with e as (select l.doc_id, concat(case when l.doc_id % 11 = 0 then 'Clean_' else 'image_' end, d.source) as name, {at}, case when quality = 1 then 0.35 + (l.doc_id % 80) * 0.02 end as gain from {d.t('labels')} l join {d.t('documents')} d on d.doc_id = l.doc_id),
+    a as (select doc_id, status, case when doc_id % 19 = 0 then 'other' else method end as method, case when doc_id % 17 = 0 then x + 1 else x end as x, y, size, action, coalesce(gain, 0) + (doc_id % 4) * 0.01 as gain from e)
+    select e.doc_id, {same} and (e.gain is null or abs(e.gain - a.gain) <= 0.021) and not ({d.match('e.name', '(?i)^clean_')} and a.status <> 'not-found') as same from e join a on a.doc_id = e.doc_id"""
 
 
 def parity_negatives(d):
@@ -198,7 +274,8 @@ def chunk_offsets(d):
 
 
 def chunk_split(d, part: int = 16384):
-    return f"with {chunks(d)}, f as (select file, cast(sum(size) as bigint) as total from ch group by file) select file, k, k * {part} as at, least({part}, total - k * {part}) as size from f cross join {d.seq(0, 40, 'k')} s where k * {part} < total"
+    """All parts of a file, as many as it has."""
+    return f"with {chunks(d)}, f as (select file, cast(sum(size) as bigint) as total from ch group by file), k as (select file, total, {d.upto(d.idiv(f'total + {part - 1}', part), 'k')} from f) select file, k, k * {part} as at, least({part}, total - k * {part}) as size from k"
 
 
 def chunk_cache_key(d):
@@ -222,9 +299,27 @@ def runtime_ready(d):
 
 
 def source_order(d):
-    """Three sources; `hf` comes first unless the mode turns the order round; a preferred one moves to the front."""
-    return f"""with u as (select user_id, min(event_id) % 4 as pref, min(event_id) % 2 as mode from {d.t('events')} group by user_id), s as (select 0 as k, 'hf' as name union all select 1, 'mirror' union all select 2, 'origin')
-    select user_id, name, row_number() over (partition by user_id order by case when k = pref then 0 else 1 end, case when mode = 0 then k else 2 - k end) as place from u cross join s"""
+    """Mirror, hub, own site; a model without a hub address has two.  Preferring the hub moves it to the front, preferring
+    the own site turns the order round; the source that worked last in this session goes first."""
+    names = " union all ".join(f"select {k} as k, '{n}' as name" for k, n in enumerate(SOURCES))
+    rank = "case when mode = 1 and k = 1 then -1 when mode = 2 then 2 - k else k end"
+    return f"""with u as (select user_id, min(event_id) % 3 as mode, min(event_id) % 4 as worked, min(event_id) % 5 > 0 as hub from {d.t('events')} group by user_id), s as ({names})
+    select user_id, name, row_number() over (partition by user_id order by case when k = worked then 0 else 1 end, {rank}) as place from u cross join s where hub or k <> 1"""
+
+
+def slow_switch(d):
+    """Source of every part of a download: the one that gave the part before, until the first part that came slower than
+    SLOW bytes a second; from the next one on another source is taken, once."""
+    return f"""with {chunks(d)}, t as (select file, idx, size * 1.0 / greatest(0.1, 0.05 + (src % 40) * 0.01) as speed from ch), f as (select file, min(case when speed < {SLOW} then idx end) as first from t group by file)
+    select t.file, t.idx, speed < {SLOW} as slow, case when first is not null and t.idx > first then '{SOURCES[1]}' else '{SOURCES[0]}' end as source from t join f on f.file = t.file"""
+
+
+def range_check(d):
+    """Answers to a range request: which are taken, and why others are not."""
+    return f"""with q as (select event_id as id, event_id % 3 = 0 as no_resume, case when event_id % 4 = 0 then 0 else (event_id % 5) * 1000 end as offset_, case event_id % 11 when 0 then 200 when 1 then 404 else 206 end as status, case when event_id % 4 = 1 and event_id % 3 > 0 then 512 else 0 end as have, 4096 as size from {d.t('events')}),
+    r as (select *, offset_ + have as first, offset_ + size - 1 as last, case when id % 13 = 0 then null when id % 17 = 0 then offset_ + have + 1 else offset_ + have end as got, case when id % 19 = 0 then 7 else 90000 end as total from q)
+    select id, case when status >= 300 then concat('HTTP ', cast(status as varchar(20))) when status <> 206 and not (status = 200 and offset_ = 0 and have = 0) then 'no resume'
+      when not no_resume and status = 206 and (got is null or got <> first) then 'range' when not no_resume and got is not null and total <> 90000 then 'total' else '' end as reason from r"""
 
 
 def attempts(d) -> str:
@@ -232,9 +327,12 @@ def attempts(d) -> str:
 
 
 def chunk_retry_fold(d):
-    """Attempts of a run in order, four a source: source number, attempt, resume within the source, back-off in ms."""
-    return f"""with {attempts(d)}, r as (select run, n, kind, row_number() over (partition by run order by n) - 1 as i from att)
-    select run, n, {d.idiv('i', 4)} as source, i % 4 + 1 as attempt, i % 4 > 0 as resume, case when kind = 'error' then least(8000, 800 * (i % 4 + 1)) else 0 end as backoff_ms from r"""
+    """Attempts of a download in order: RETRIES a source, bytes go on from where the source broke off, another source starts
+    from 0, and the first source (which cannot resume) from 0 at every attempt.  A part is done when an attempt ends it."""
+    got = "cast(floor(value * 5) as bigint)"
+    return f"""with {attempts(d)}, r as (select run, n, kind, {got} as got, row_number() over (partition by run order by n) - 1 as i from att), s as (select *, {d.idiv('i', RETRIES)} as source from r),
+    h as (select *, coalesce(sum(got) over (partition by run, source order by n rows between unbounded preceding and 1 preceding), 0) as before from s)
+    select run, n, source, i % {RETRIES} + 1 as attempt, cast(case when source = 0 then 0 else before end as bigint) as resumes_at, case when kind = 'error' then least(8000, 800 * (i % {RETRIES} + 1)) else 0 end as backoff_ms from h"""
 
 
 def oom_retry_fold(d):
@@ -262,7 +360,9 @@ def scan_files(d):
 QUERIES = {f.__name__: f for f in (
     scan_files, accept_files, needs_processing, has_result, state_text, error_class, oom_classify, output_format, original_format, output_name, zip_entry_names,
     zip_layout, dos_datetime, batch_admission, batch_bytes, batch_totals, queue_summary, capacity_check, result_upsert, result_delete, restore_results,
-    last_result, batch_explode, passthrough_bytes, crc32, timing_ewma, batch_estimate, stratified_sample, parity_diff, parity_negatives, parity_fixtures,
+    last_result, batch_explode, passthrough_bytes, crc32, session_poison, slow_switch, range_check, timing_ewma, batch_estimate, stratified_sample, parity_diff, parity_negatives, parity_fixtures,
     manifest_except, chunk_offsets, chunk_split, chunk_cache_key, cache_coverage, cache_evict, runtime_ready, source_order, chunk_retry_fold, oom_retry_fold,
     thread_policy,
 )}
+#: DuckDB has no CRC-32.
+NO_SQL = ("crc32",)

@@ -5,6 +5,8 @@ join a pixel with the few neighbours of its own image only, by equi-join on (ima
 
 from __future__ import annotations
 
+import math
+
 from markfield.functions.dialect import clamp, clamp01, fl, jsround, pearson, reflect
 
 N = 8
@@ -91,7 +93,7 @@ def mask_in_window(d):
 
 def mask_unpack(d):
     bit = d.idiv("g", "cast(pow(2, 7 - k) as bigint)")
-    return f"with {px(d)} select img, y, x * 8 + k as x, case when {bit} % 2 = 1 then 255 else 0 end as mask from px cross join {d.seq(0, 7, 'k')} b where y < 2"
+    return f"with {px(d)} select img, y, x * 8 + k as x, case when {bit} % 2 = 1 then 255 else 0 end as mask from px cross join {d.seq(0, 7, 'k')} b"
 
 
 def _near(d, r: int) -> str:
@@ -104,23 +106,34 @@ def dilate_square(d, r: int = 1):
     return f"with {px(d)}, a as (select img, y, x, case when g > 150 then 255 else 0 end as m from px), h as (select img, y, x, {w('m', 'y', 'x')} as m from a) select img, y, x, {w('m', 'x', 'y')} as mask from h"
 
 
+def radius(sigma: float) -> int:
+    """Taps on either side: the size is 8 sigma + 1 rounded, made odd upwards, 3 at least."""
+    size = math.floor(8 * sigma + 1.5)
+    return max(3, size | 1) // 2
+
+
 def gauss_kernel(d):
-    return f"""with s as (select vec_id as id, 0.5 + (vec_id % 10) * 0.25 as sigma from {d.t('embeddings')} where vec_id < 20),
-    k as (select id, sigma, greatest(1, {d.idiv(f"greatest(3, {jsround('8 * sigma')} + 1 - ({jsround('8 * sigma')} % 2))", 2)}) as r from s),
-    w as (select id, i, exp(-(i * i) / (2 * sigma * sigma)) as w from k cross join {d.seq(-20, 20, 'i')} b where i between -r and r)
+    size = f"greatest(3, {fl('8 * sigma + 1.5')} + 1 - {fl('8 * sigma + 1.5')} % 2)"
+    return f"""with s as (select vec_id as id, 0.5 + (vec_id % 10) * 0.25 as sigma from {d.t('embeddings')}), k as (select id, sigma, {d.idiv(size, 2)} as r from s), i as (select id, sigma, r, {d.upto('2 * r + 1', 'n')} from k),
+    w as (select id, n - r as i, exp(-((n - r) * (n - r)) / (2 * sigma * sigma)) as w from i)
     select id, i, round(w / sum(w) over (partition by id), 9) as weight from w"""
 
 
-#: Weights of a 5-tap kernel (sigma 1, normalised here in SQL).
-_TAPS = "exp(-(k * k) / 2.0)"
+def blurred(d, table: str, value: str, sigma: float, to: str) -> str:
+    """CTEs for `to` (img, y, x, v): `value` of `table` (img, y, x) under a Gaussian, row by row, then column by column."""
+    r, w = radius(sigma), f"exp(-(k * k) / {2 * sigma * sigma})"
+    return f"""{to}_k as (select k, {w} / sum({w}) over () as w from {d.seq(-r, r, 'k')} s),
+    {to}_s as (select img, y, x, {value} as v from {table}),
+    {to}_h as (select a.img, a.y, a.x, sum(w * b.v) as v from (select img, y, x, w, {reflect('x + k', N)} as sx from {to}_s cross join {to}_k) a join {to}_s b on b.img = a.img and b.y = a.y and b.x = a.sx group by a.img, a.y, a.x),
+    {to} as (select a.img, a.y, a.x, sum(w * b.v) as v from (select img, y, x, w, {reflect('y + k', N)} as sy from {to}_h cross join {to}_k) a join {to}_h b on b.img = a.img and b.x = a.x and b.y = a.sy group by a.img, a.y, a.x)"""
 
 
 def gaussian_blur(d):
-    taps = f"taps as (select k, {_TAPS} / sum({_TAPS}) over () as w from {d.seq(-2, 2, 'k')} s)"
-    return f"""with {px(d)}, {taps},
-    h as (select a.img, a.y, a.x, sum(w * b.g) as g from (select img, y, x, k, w, {reflect('x + k', N)} as sx from px cross join taps) a join px b on b.img = a.img and b.y = a.y and b.x = a.sx group by a.img, a.y, a.x),
-    v as (select a.img, a.y, a.x, sum(w * b.g) as g from (select img, y, x, k, w, {reflect('y + k', N)} as sy from h cross join taps) a join h b on b.img = a.img and b.x = a.x and b.y = a.sy group by a.img, a.y, a.x)
-    select img, y, x, round(g, 6) as g from v"""
+    return f"with {px(d)}, {blurred(d, 'px', 'g', 1.0, 'bl')} select img, y, x, round(v, 6) as g from bl"
+
+
+def reflect_index(d):
+    return f"select vec_id as n, i, {reflect('i', 'vec_id')} as at from {d.t('embeddings')} cross join {d.seq(-40, 40, 'i')} s where vec_id >= 1"
 
 
 def gradients(d) -> str:
@@ -141,7 +154,7 @@ def thin(d) -> str:
     m = "abs(gx) + abs(gy)"
     direction = "case when abs(gy) <= 0.4142 * abs(gx) then 0 when abs(gy) >= 2.4142 * abs(gx) then 2 when gx * gy > 0 then 1 else 3 end"
     return f"""{gradients(d)}, mag as (select img, y, x, {m} as m, {direction} as dir from grad),
-    thin as (select c.img, c.y, c.x, c.m, case when c.m >= max(case when a.o = 1 then n.m end) and c.m > max(case when a.o = -1 then n.m end) then 1 else 0 end as peak
+    thin as (select c.img, c.y, c.x, c.m, case when c.m > 0 and c.m >= max(n.m) then 1 else 0 end as peak
       from mag c cross join (select 1 as o union all select -1) a join mag n on n.img = c.img and n.y = c.y + a.o * (case when c.dir = 0 then 0 when c.dir = 3 then -1 else 1 end) and n.x = c.x + a.o * (case when c.dir = 2 then 0 else 1 end)
       where c.y between 1 and {N - 2} and c.x between 1 and {N - 2} group by c.img, c.y, c.x, c.m)"""
 
@@ -159,8 +172,8 @@ def canny(d):
     head = f"{thin(d)}, weak as (select img, y, x from thin where peak = 1 and m >= {LOW}), seed as (select img, y, x from thin where peak = 1 and m >= {HIGH})"
     if d.name == "duck":
         return f"with recursive {head}, grown(img, y, x) as (select img, y, x from seed union {grown.format(lvl='', where='')}) select img, y, x from grown"
-    # An image's edge pixels are one bounded array, grown in place.
-    grow = "aggregate(sequence(1, 36), seed, (acc, i) -> filter(weak, w -> exists(acc, s -> abs(w.y - s.y) <= 1 and abs(w.x - s.x) <= 1)))"
+    # An image's edge pixels are one array, grown in place; as many rounds as it has pixels are always enough.
+    grow = "aggregate(sequence(1, greatest(size(weak), 1)), seed, (acc, i) -> filter(weak, w -> exists(acc, s -> abs(w.y - s.y) <= 1 and abs(w.x - s.x) <= 1)))"
     return f"""with {thin(d)}, p as (select img, collect_list(case when m >= {LOW} then struct(y, x) end) as weak, collect_list(case when m >= {HIGH} then struct(y, x) end) as seed from thin where peak = 1 group by img)
     select img, q.y, q.x from (select img, explode({grow}) as q from p) z"""
 
@@ -193,8 +206,9 @@ def ccorr_minmax(d):
 
 
 def ncc_argmax(d):
-    return f"""with {_slide(d)}, s as (select img, oy, ox, {pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} as score from m)
-    select img, oy, ox, round(score, 6) as score from (select *, row_number() over (partition by img order by score desc, oy, ox) as r from s) z where r = 1"""
+    """Best correlation over the offsets where both sides vary; 0 at the origin where none does."""
+    return f"""with {_slide(d)}, s as (select img, oy, ox, n * sxx > sx * sx and n * syy > sy * sy as varies, {pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')} as score from m)
+    select img, oy, ox, round(case when varies then score else 0.0 end, 6) as score from (select *, row_number() over (partition by img order by case when varies then 0 else 1 end, case when varies then score end desc, oy, ox) as r from s) z where r = 1"""
 
 
 def correlated(d) -> str:
@@ -223,40 +237,68 @@ def clahe_hist(d):
 
 
 def clahe(d):
-    """Clip at `cap`, hand the excess out evenly and in strides, map by the tile's cumulative histogram."""
-    cap, area = 1, TILE * TILE
-    stride = f"""clip as (select img, ty, tx, cast(sum(greatest(0, n - {cap})) as bigint) as excess from hist group by img, ty, tx),
-    spread as (select img, ty, tx, {d.idiv('excess', 256)} as base, excess % 256 as rest from clip),
-    step as (select *, greatest(1, {d.idiv('256', 'greatest(rest, 1)')}) as step from spread),
-    cum as (select img, ty, tx, g, sum(least(n, {cap})) over (partition by img, ty, tx order by g) as c from hist),
-    lut as (select c.img, c.ty, c.tx, c.g, least(255, {jsround(f"(c + base * (c.g + 1) + (case when rest = 0 then 0 else least(rest, {d.idiv('c.g', 'step')} + 1) end)) * 255.0 / {area}")}) as v from cum c join step using (img, ty, tx))"""
-    return f"with {_clahe(d)}, {stride} select p.img, p.y, p.x, v as g from px p join lut l on l.img = p.img and l.ty = {d.idiv('p.y', TILE)} and l.tx = {d.idiv('p.x', TILE)} and l.g = p.g"
+    """Clip at `cap`, hand the excess out evenly and at even strides, map by cumulative histograms, blended between the
+    four tiles around a pixel."""
+    cap, area, tiles = max(1, math.floor(2 * TILE * TILE / 256 + 0.5)), TILE * TILE, N // TILE
+    at = lambda v: f"({v} + 0.5) * {tiles} / {N} - 0.5"
+    near = lambda v: clamp(fl(at(v)), 0, tiles - 1)
+    part = lambda v, t: f"case when {t} = 0 then 1 - {clamp01(f'{at(v)} - {near(v)}')} else {clamp01(f'{at(v)} - {near(v)}')} end"
+    cumulative = f"sum(case when h.g <= c.g then least(h.n, {cap}) else 0 end) + {d.idiv('excess', 256)} * (c.g + 1) + least(excess % 256, cast(ceil((c.g + 1) * (excess % 256) / 256.0) as bigint))"
+    return f"""with {_clahe(d)}, clip as (select img, ty, tx, cast(sum(greatest(0, n - {cap})) as bigint) as excess from hist group by img, ty, tx),
+    c as (select img, y, x, g, least({tiles - 1}, {near('y')} + oy) as ty, least({tiles - 1}, {near('x')} + ox) as tx, oy, ox, ({part('y', 'oy')}) * ({part('x', 'ox')}) as w from px cross join {d.seq(0, 1, 'oy')} a cross join {d.seq(0, 1, 'ox')} b),
+    lut as (select c.img, c.y, c.x, c.oy, c.ox, c.w, least(255, {jsround(f'({cumulative}) * 255.0 / {area}')}) as v
+      from c join hist h on h.img = c.img and h.ty = c.ty and h.tx = c.tx join clip on clip.img = c.img and clip.ty = c.ty and clip.tx = c.tx group by c.img, c.y, c.x, c.oy, c.ox, c.w, c.g, excess)
+    select img, y, x, {jsround('round(sum(w * v), 6)')} as g from lut group by img, y, x"""
 
 
 def stroke_features(d):
-    return f"""with {rgb(d)}, s as (select img, y, x, case when greatest(r, g, b) - least(r, g, b) < 80 and greatest(r, g, b) > 120 then 1 else 0 end as white from rgb)
-    select img, round(avg(white), 9) as density, round(count(distinct case when white = 1 then x end) / {N}.0, 9) as columns from s group by img"""
+    """Share of bright, pale pixels among those that stand out from their surroundings, and of columns that have any."""
+    return f"""with {rgb(d)}, gray as (select img, y, x, r, g, b, {jsround('0.299 * r + 0.587 * g + 0.114 * b')} as v, greatest(r, g, b) as mx, least(r, g, b) as mn from rgb), {blurred(d, 'gray', 'v', 1.2, 'bl')},
+    s as (select gray.img, gray.x, round(gray.v - bl.v, 9) > 2.5 as out_, mx > 120 and {jsround('cast(mx - mn as double) / greatest(mx, 1) * 255')} < 80 as pale from gray join bl on bl.img = gray.img and bl.y = gray.y and bl.x = gray.x)
+    select img, round(avg(case when out_ and pale then 1.0 else 0.0 end), 9) as density, round(count(distinct case when out_ then x end) / {N}.0, 9) as columns from s group by img"""
 
 
 def alpha_gain_search(d):
-    """Gain in 0.35 .. 1.99 (steps of 0.02) whose residual correlation with the template is nearest zero, first wins."""
-    res = "(g - 0.35 * gain * t / 2.0)"
-    return f"""with {template(d)}, gains as (select i, 0.35 + 0.02 * i as gain from {d.seq(0, 82, 'i')} s),
-    m as (select img, i, gain, count(*) as n, sum({res}) as sx, sum(t) as sy, sum({res} * {res}) as sxx, sum(t * t) as syy, sum({res} * t) as sxy from px join tpl using (label, y, x) cross join gains group by img, i, gain),
-    c as (select img, i, gain, round(abs({pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')}), 6) as residual from m)
-    select img, round(gain, 2) as gain, residual from (select *, row_number() over (partition by img order by residual, i) as r from c) z where r = 1"""
+    """Gain in 0.35 .. 1.99 (steps of 0.02) at which what is left under the template correlates least with it, first wins.
+    What is left: (g - a) / (1 - a) within 0..1, with a the template's share times the gain, 0.99 at most; pixels of no
+    share stay.  g is linear light."""
+    lin = "case when g <= 10 then g / 255.0 / 12.92 else pow((g / 255.0 + 0.055) / 1.055, 2.4) end"
+    left = lambda a, g: f"case when {a} > 0.002 then {clamp01(f'({g} - {a}) / (1 - {a})')} else {g} end"
+    if d.name == "spark":  # one row an image: arrays of its pixels, no row for a pixel and gain
+        share = "least(z.a * (0.35 + 0.02 * i), 0.99)"
+        sums = "aggregate(ps, named_struct('n', 0L, 'x', 0.0, 'y', 0.0, 'xx', 0.0, 'yy', 0.0, 'xy', 0.0), (s, z) -> transform(array({v}), v -> named_struct('n', s.n + 1, 'x', s.x + v, 'y', s.y + z.a, 'xx', s.xx + v * v, 'yy', s.yy + z.a * z.a, 'xy', s.xy + v * z.a))[0])".replace("{v}", left(share, "z.g"))
+        return f"""with {template(d)}, p as (select px.img, array_sort(collect_list(struct(px.y, px.x, {lin} as g, t / 255.0 as a))) as ps from px join tpl using (label, y, x) group by px.img),
+        c as (select img, transform(transform(sequence(0, 82), i -> {sums}), (s, i) -> struct(round(abs({pearson('s.n', 's.x', 's.y', 's.xx', 's.yy', 's.xy')}), 6) as residual, i as i)) as rs from p)
+        select img, round(0.35 + 0.02 * array_min(rs).i, 2) as gain, array_min(rs).residual as residual from c"""
+    return f"""with {template(d)}, q as (select img, {lin} as g, t / 255.0 as a from px join tpl using (label, y, x)), e as (select img, a, i, g, least(a * (0.35 + 0.02 * i), 0.99) as sa from q cross join {d.seq(0, 82, 'i')} s), f as (select img, a, i, {left('sa', 'g')} as v from e),
+    m as (select img, i, count(*) as n, sum(v) as sx, sum(a) as sy, sum(v * v) as sxx, sum(a * a) as syy, sum(v * a) as sxy from f group by img, i), c as (select img, i, round(abs({pearson('n', 'sx', 'sy', 'sxx', 'syy', 'sxy')}), 6) as residual from m)
+    select img, round(0.35 + 0.02 * i, 2) as gain, residual from (select *, row_number() over (partition by img order by residual, i) as r from c) z where r = 1"""
 
 
 def feather_blend(d):
-    return f"""with {px(d)}, a as (select p.img, p.y, p.x, p.g, q.g as repaired, {clamp01('(4.5 - sqrt(cast((p.x - 4) * (p.x - 4) + (p.y - 4) * (p.y - 4) as double))) / 3')} as alpha from px p join px q on q.img = p.img + 1 and q.y = p.y and q.x = p.x)
-    select img, y, x, case when alpha <= 0.002 then g else {jsround('g * (1 - alpha) + repaired * alpha')} end as g from a"""
+    """A region is blended in under its blurred mask (sigma 1.6); values of at most 1.5 are taken for shares of 255."""
+    inside = "case when (x - 4) * (x - 4) + (y - 4) * (y - 4) <= 4 then 1 else 0 end"
+    return f"""with {px(d)}, made as (select img - 1 as img, y, x, case when img % 2 = 0 then g / 255.0 else cast(g as double) end as v from px), scaled as (select img, y, x, {clamp(jsround("v * case when max(v) over (partition by img) <= 1.5 then 255 else 1 end"), 0, 255)} as v from made),
+    {blurred(d, 'px', inside, 1.6, 'bl')}, a as (select px.img, px.y, px.x, px.g, s.v as made, round({clamp01('bl.v')}, 9) as alpha from px join bl on bl.img = px.img and bl.y = px.y and bl.x = px.x join scaled s on s.img = px.img and s.y = px.y and s.x = px.x)
+    select img, y, x, case when alpha <= 0.002 then g else {jsround('round(made * alpha + g * (1 - alpha), 6)')} end as g from a"""
+
+
+def build_inputs(d, to: int = 12):
+    """Planes of a model's input: colours as shares, resampled between pixel centres, and a mask taken at the nearest one."""
+    pos = lambda v: clamp(f"({v} + 0.5) * {N}.0 / {to} - 0.5", "0.0", f"{N - 1}.0")
+    src = lambda v: f"least({N - 1}, {fl(f'({v} + 0.5) * {N}.0 / {to}')})"
+    planes = " union all ".join(f"select {k} as plane, img, y, x, {c} / 255.0 as v from rgb" for k, c in enumerate("rgb"))
+    return f"""with {rgb(d)}, pl as ({planes}), dst as (select dy, dx, {pos('dy')} as sy, {pos('dx')} as sx from {d.seq(0, to - 1, 'dy')} a cross join {d.seq(0, to - 1, 'dx')} b),
+    w as (select dy, dx, {fl('sy')} + oy as y, {fl('sx')} + ox as x, (case when oy = 0 then 1 - (sy - floor(sy)) else sy - floor(sy) end) * (case when ox = 0 then 1 - (sx - floor(sx)) else sx - floor(sx) end) as wt from dst cross join {d.seq(0, 1, 'oy')} a cross join {d.seq(0, 1, 'ox')} b)
+    select plane, img, dy as y, dx as x, round(sum(v * wt), 6) as v from pl join w using (y, x) where wt > 0 group by plane, img, dy, dx
+    union all select 3, img, dy, dx, case when r > 128 then 1.0 else 0.0 end from rgb join dst on rgb.y = {src('dy')} and rgb.x = {src('dx')}"""
 
 
 QUERIES = {
     **{f.__name__: f for f in (
         gray_quantize, luma709, gray_fixedpoint, rgb_to_hsv, srgb_linear, resize_nearest, resize_area, resize_bilinear, crop, masked_rgb,
         raster_shapes, mask_in_window, mask_unpack, dilate_square, gauss_kernel, gaussian_blur, sobel_l1, edge_magnitude, canny_thin, canny,
-        contrast_kernel, ccorr_argmax, ccorr_minmax, ncc_argmax, argmax_first, clahe_hist, clahe, stroke_features, alpha_gain_search, feather_blend,
+        contrast_kernel, ccorr_argmax, ccorr_minmax, ncc_argmax, argmax_first, clahe_hist, clahe, stroke_features, alpha_gain_search, feather_blend, reflect_index, build_inputs,
     )},
     "pearson": pearson_query,
 }

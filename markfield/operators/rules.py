@@ -14,6 +14,20 @@ LIGHT = (0.36, 0.001, 4, 8, 0.09, 0.65)
 ALPHA_FAR, ALPHA = (0.36, 0.20, 0.10), (0.32, 0.30)
 ALPHA_FALLBACK, ALPHA_QUALITY = 0.35, (0.001, 0.60, 0.25)
 OVERLAP = 0.60
+#: Detector, limit and range of contrast, of shape, of a third score; null where it has none.
+MARGINS = (
+    ("qianwen", 25, 25, 0.50, 0.50, "null", "null"),
+    ("qingyan", 8, 20, 0.50, 0.50, "null", "null"),
+    ("doubao", 8, 18, 0.45, 0.35, "null", "null"),
+    ("doubao v2", 18, 30, 0.36, 0.30, "null", "null"),
+    ("doubao v2 outline", 20, 30, 0.22, 0.20, 0.32, 0.30),
+    ("yuanbao", 30, 45, 0.60, 0.30, "null", "null"),
+    ("wenxin", 35, 60, 0.65, 0.25, "null", "null"),
+    ("jimeng", 18, 35, 0.42, 0.35, "null", "null"),
+    ("xiaohongshu label", "null", "null", 0.70, 0.25, "null", "null"),
+    ("xiaohongshu badge", "null", "null", 0.25, 0.35, "null", "null"),
+    ("xiaohongshu account", "null", "null", 0.36, 0.20, "null", "null"),
+)
 
 
 def candidates(d) -> str:
@@ -72,7 +86,10 @@ def light_label_gate(d):
 
 
 def confidence(d):
-    return f"with {candidates(d)} select id, round(least({clamp01('(contrast - 18) / 18.0')}, {clamp01('(shape - 0.36) / 0.35')}), 9) as confidence from c"
+    """Least margin of a candidate's scores over a detector's limits, within 0..1, for every detector."""
+    parts = " union all ".join(f"select '{n}' as name, {c} as c0, {cr} as c1, {s} as s0, {sr} as s1, {o} as o0, {orr} as o1" for n, c, cr, s, sr, o, orr in MARGINS)
+    margin = lambda v, lo, by: f"(case when {by} is null then 1.0 else {clamp01(f'({v} - {lo}) / {by}')} end)"
+    return f"with {candidates(d)}, mg as ({parts}) select id, name, round(least({margin('contrast', 'c0', 'c1')}, {margin('shape', 's0', 's1')}, {margin('outline', 'o0', 'o1')}), 9) as confidence from c cross join mg"
 
 
 def candidate_grid(d):
@@ -111,6 +128,11 @@ def corner_boxes(d):
     return f"with {images(d)}, c as (select img, w, h, {cw} as cw, {ch} as ch from i) select img, cw, ch, r, case when r in (1, 3) then w - cw else 0 end as x, case when r in (1, 2) then h - ch else 0 end as y from c cross join {d.seq(1, 4, 'r')} s"
 
 
+def box_region(d):
+    """A region of a box that stands for itself: rounded, within the image's first corner, one pixel at least."""
+    return f"with {images(d)}, r as (select img, {jsround('x / 3.0')} as x, {jsround('y / 3.0')} as y, {jsround('(rw - 20) / 3.0')} as w, {jsround('(rh - 20) / 3.0')} as h from i) select img, greatest(0, x) as x, greatest(0, y) as y, greatest(1, w) as w, greatest(1, h) as h, greatest(1, w) * greatest(1, h) as mask from r"
+
+
 def thumb_dims(d):
     return f"with {images(d)} select img, 132 as w, greatest(1, {jsround('h * 132.0 / w')}) as h from i"
 
@@ -144,6 +166,6 @@ def provider_list(d):
 
 QUERIES = {f.__name__: f for f in (
     alpha_candidate_valid, alpha_fallback_valid, alpha_quality, match_mode, corner_gate, polarity_gate, two_region_gate, light_label_gate, confidence,
-    candidate_grid, detect_scores, clamp_box, anchor_position, region_window, expand_padding, corner_boxes, thumb_dims, box_overlap, overlap_suppress,
+    candidate_grid, detect_scores, clamp_box, anchor_position, region_window, expand_padding, corner_boxes, box_region, thumb_dims, box_overlap, overlap_suppress,
     region_union, provider_list,
 )}

@@ -1,50 +1,70 @@
 """Recognised text: normalisation, classification, line grouping and regions of OCR items.
 
-Items come from documents: a few marks are written into them by id, as the tables hold none."""
+`normalize_text` and `text_kind` run over every whole text and over MARKS, rows of their own that are marks; NFKC is in
+neither engine's SQL, so they are programs.  Items of the SQL operators come from conversations, with marks written into
+some of them that NFKC does not change, as the tables hold none."""
 
 from __future__ import annotations
 
-from markfield.functions.dialect import fl, jsround
+from collections.abc import Callable, Iterator
 
-# Platform names whose marks are recognised, the suffix of generated content, and an account label.
-NAMES = ("豆包", "千问", "即梦", "元宝", "文心", "清言", "Gemini")
-SUFFIX, ACCOUNT = "AI生成", "小红书号"
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from markfield.functions import marks
+from markfield.functions.dialect import jsround
 
-def raw(d) -> str:
-    arms = " ".join(f"when {i} then '{t}'" for i, t in enumerate(("豆包 AI 生 成", "Gemini", "小红书号：2917353068", "这是豆包的食谱", "清言 ai", "照片 AI 生成 ", "元宝-生成", "小红书号：照片")))
-    return f"raw as (select doc_id as id, case doc_id % 12 {arms} else substring(text, 1, 20) end as s from {d.t('documents')})"
+#: Marks that are added to the documents with ids from -1 downwards.
+MARKS = ("豆包 AI 生 成", "Ｇｅｍｉｎｉ", "小红书号：2917353068", "这是豆包的食谱", "清言 ai", "照片 ＡＩ 生 成 ", "元宝-生成", "小红书号：照片", "千问自己", "", None)
 
 
-def _norm(d, s: str) -> str:
-    strip = r"(?U)[\s\p{P}\p{S}]" if d.name == "spark" else r"[\s\p{P}\p{S}]"
-    return d.replace(f"upper(replace({s}, 'ß', 'ss'))", strip, "")
+def each_text(spark: SparkSession, sf_dir: str, column: str, f: Callable[[str | None], str | None]) -> DataFrame:
+    """id, column (f of the text) of every document and every mark."""
+    told = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    made = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(MARKS)], "id long, text string")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b["id"], pa.array([f(t) for t in b["text"].to_pylist()], pa.string())], ["id", column])
 
-def normalize_text(d):
-    return f"with {raw(d)} select id, {_norm(d, 's')} as text from raw"
+    return told.unionByName(made).mapInArrow(run, f"id long, {column} string")
 
 
-def kind(d, t: str) -> str:
-    names = " ".join(f"when {t} in ('{n.upper()}', '{n.upper()}AI', '{n.upper()}生成', '{n.upper()}AI生成') then '{n}'" for n in NAMES)
-    return f"case when {d.match(t, ACCOUNT + '[0-9]{3,}')} then '小红书' {names} when {t} like '%{SUFFIX}%' then '{SUFFIX}' end"
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_text(spark, sf_dir, "text", marks.normal_form)
 
 
-def text_kind(d):
-    return f"with {raw(d)}, n as (select id, {_norm(d, 's')} as t from raw) select id, {kind(d, 't')} as kind from n"
+def text_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_text(spark, sf_dir, "kind", marks.kind_of)
+
+
+def _norm(d, s: str) -> str:
+    strip = r"(?U)[\s\p{P}\p{S}]" if d.name == "spark" else r"[\s\p{P}\p{S}]"
+    return d.replace(f"upper({s})", strip, "")
+
+
+def kind(d, t: str) -> str:
+    names = " ".join(f"when {t} in ('{n}', '{n}AI', '{n}生成', '{n}AI生成') then '{marks._SHOWN.get(n, n)}'" for n in marks.NAMES)
+    return f"case when {d.match(t, marks.ACCOUNT)} then '{marks.BRAND}' {names} when {t} like '%{marks.SUFFIX}%' then '{marks.SUFFIX}' end"
 
 
 def items(d) -> str:
     """Boxes on a page: conv_id is the image, a turn an item."""
-    return f"""it as (select conv_id as img, turn as ord, role as text, 0.2 + ((conv_id + turn) % 9) / 10.0 as score, (conv_id * 37 + turn * 90) % 400 as x, (conv_id * 11 + {d.idiv('turn', 3)} * 60) % 300 as y, 30 + length(text) % 60 as w, 12 + length(text) % 16 as h from {d.t('conversations')})"""
+    said = ("豆包", "AI", "生成", "小红书号：2917353068", "小红书", "AI 生 成", "Gemini", "hello")
+    text = " ".join(f"when {k} then '{t}'" for k, t in enumerate(said))
+    return f"""it as (select conv_id as img, turn as ord, case (conv_id * 5 + turn) % 11 {text} else role end as text, 0.2 + ((conv_id + turn) % 9) / 10.0 as score, (conv_id * 37 + turn * 90) % 400 as x, (conv_id * 11 + {d.idiv('turn', 3)} * 60) % 300 as y, 30 + length(text) % 60 as w, 12 + length(text) % 16 as h from {d.t('conversations')})"""
 
 
 def poly_bounds(d):
-    pts = "array(x, x + w, x + w + 2, x - 1)", "array(y - 1, y, y + h, y + h + 2)"
+    """Box of an item's points; none where a point is not finite."""
+    xs, ys = "array(x, x + w, x + w + far, x - 1)", "array(y - 1, y, y + h, y + h + 2)"
+    odd, lo, hi = "exists(p, v -> isnan(v) or abs(v) = cast('Infinity' as double))", "array_min", "array_max"
     if d.name == "duck":
-        pts = tuple(p.replace("array(", "[").replace(")", "]") for p in pts)
-    lo, hi = ("array_min", "array_max") if d.name == "spark" else ("list_min", "list_max")
-    return f"with {items(d)} select img, ord, {lo}({pts[0]}) as x0, {hi}({pts[0]}) as x1, {lo}({pts[1]}) as y0, {hi}({pts[1]}) as y1 from it"
+        xs, ys = (p.replace("array(", "[").replace(")", "]") for p in (xs, ys))
+        odd, lo, hi = "len(list_filter(p, lambda v: not isfinite(v))) > 0", "list_min", "list_max"
+    far = "case when (img + ord) % 13 = 0 then cast('NaN' as double) when (img + ord) % 17 = 0 then cast('Infinity' as double) else cast(2 as double) end as far"
+    return f"with {items(d)}, q as (select img, ord, x, y, w, h, {far} from it), s as (select img, ord, {xs} as p, {ys} as q from q), b as (select img, ord, case when {odd} then null else p end as p, q from s) select img, ord, {lo}(p) as x0, {hi}(p) as x1, case when p is null then null else {lo}(q) end as y0, case when p is null then null else {hi}(q) end as y1 from b"
 
 
 SAME = "abs(({a}.y + {a}.h / 2.0) - ({b}.y + {b}.h / 2.0)) <= 0.55 * greatest({a}.h, {b}.h) and greatest({a}.x, {b}.x) - least({a}.x + {a}.w, {b}.x + {b}.w) <= 2.5 * greatest({a}.h, {b}.h)"
@@ -95,16 +115,38 @@ def ocr_line_text(d):
     return f"{_with(d)} {lines(d)}, m as ({members}) select m.img, cast(line as bigint) as line, {d.join(d.gather('text', 'x * 1000 + m.ord'), '')} as text from m join it on it.img = m.img and it.ord = m.ord group by m.img, line"
 
 
+#: The image that the items' corner was cut from, and where.
+AT_X, AT_Y, WIDTH, HEIGHT = 300, 200, 1000, 900
+
+
+def told_lines(d) -> str:
+    """Lines with their box, the text in order of x, the text as read, and the kind."""
+    members = "select img, line, unnest(l.n) as ord from ln" if d.name == "duck" else "select img, line, explode(l.n) as ord from ln"
+    return f"""{lines(d)}, mb as ({members}),
+    tx as (select mb.img, line, {d.join(d.gather('text', 'x * 1000 + mb.ord'), '')} as text, {d.join(d.gather('text', 'mb.ord'), '')} as as_read from mb join it on it.img = mb.img and it.ord = mb.ord group by mb.img, line),
+    f as (select ln.img, cast(ln.line as bigint) as line, l.x as x, l.y as y, l.x + l.w as x1, l.y + l.h as y1, text, {_norm(d, 'text')} as norm, {_norm(d, 'as_read')} as norm_read from ln join tx on tx.img = ln.img and tx.line = ln.line),
+    k as (select *, {kind(d, 'norm')} as kind from f)"""
+
+
+def merged(d) -> str:
+    """A line of the account kind takes in the first badge above it, at most two line heights away and not left of it."""
+    above = f"b.img = a.img and b.line <> a.line and (case when b.line < a.line then b.norm else b.norm_read end) = '{marks.BRAND}' and b.y1 <= a.y and a.y - b.y1 <= 2 * (a.y1 - a.y) and b.x1 >= a.x - 2 * (a.y1 - a.y)"
+    return f"""{told_lines(d)}, badge as (select a.img, a.line, b.x, b.y, b.x1, b.y1, row_number() over (partition by a.img, a.line order by b.line) as r from k a join k b on {above} where a.kind = '{marks.BRAND}'),
+    mg as (select k.img, k.line, k.kind, k.text, k.norm, greatest(1, k.y1 - k.y) as h, least(k.x, coalesce(b.x, k.x)) as x, least(k.y, coalesce(b.y, k.y)) as y, greatest(k.x1, coalesce(b.x1, k.x1)) as x1, greatest(k.y1, coalesce(b.y1, k.y1)) as y1, b.x is not null as badge
+      from k left join badge b on b.img = k.img and b.line = k.line and b.r = 1 where k.kind is not null)"""
+
+
 def ocr_badge_merge(d):
-    """A line of the account kind takes in the first other line above it, at most two line heights away."""
-    return f"""{_with(d)} {lines(d)}, f as (select img, cast(line as bigint) as line, l.x as x, l.y as y, l.w as w, l.h as h from ln),
-    p as (select a.img, a.line, b.line as above, b.x as bx, b.y as by_, b.w as bw, b.h as bh, row_number() over (partition by a.img, a.line order by b.line) as r from f a join f b on a.img = b.img and a.line <> b.line and b.y + b.h <= a.y + a.h and a.y - (b.y + b.h) <= 2 * a.h where a.line % 2 = 0)
-    select f.img, f.line, least(f.x, coalesce(bx, f.x)) as x, least(f.y, coalesce(by_, f.y)) as y, greatest(f.x + f.w, coalesce(bx + bw, f.x + f.w)) as x1, greatest(f.y + f.h, coalesce(by_ + bh, f.y + f.h)) as y1 from f left join p on p.img = f.img and p.line = f.line and p.r = 1"""
+    return f"{_with(d)} {merged(d)} select img, line, kind, badge, x, y, x1, y1 from mg"
 
 
 def ocr_regions(d):
-    return f"""{_with(d)} {lines(d)}, f as (select img, cast(line as bigint) as line, l.x as x, l.y as y, l.w as w, l.h as h, line % 2 = 0 as bare from ln), g as (select *, greatest(3, {jsround('0.35 * h')}) as pad, case when bare then {jsround('3.5 * h')} else 0 end as prefix from f)
-    select img, line, greatest(0, x - pad - prefix) as x, greatest(0, y - pad) as y, least(500, x + w + pad) as x1, least(400, y + h + pad) as y1 from g"""
+    """Regions of the lines that are marks: padded, with room for a name before the bare suffix, clipped, not too large."""
+    before = f"case when norm = '{marks.SUFFIX}' then h * 3.5 else 0.0 end"
+    return f"""{_with(d)} {merged(d)}, g as (select *, greatest(3, {jsround('h * 0.35')}) as pad, {before} as room from mg),
+    e as (select *, greatest(0, cast(floor({AT_X} + x - pad - room) as bigint)) as left_, greatest(0, {AT_Y} + y - pad) as top, least({WIDTH}, {AT_X} + x1 + pad) as right_, least({HEIGHT}, {AT_Y} + y1 + pad) as bottom from g)
+    select img, line, kind as provider, text, left_ as x, top as y, right_ - left_ as width, bottom - top as height, greatest(64, {jsround('h * 3')}) as context, greatest(2, {jsround('h * 0.15')}) as padding from e
+    where right_ > left_ and bottom > top and right_ - left_ <= {WIDTH} * 0.5 and bottom - top <= {HEIGHT} * 0.2"""
 
 
 def first_corner_hit(d):
@@ -114,5 +156,6 @@ def first_corner_hit(d):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_text, text_kind, poly_bounds, same_line_pairs, ocr_item_gate, ocr_region_gate, ocr_lines, ocr_line_text, ocr_badge_merge, ocr_regions, first_corner_hit,
+    poly_bounds, same_line_pairs, ocr_item_gate, ocr_region_gate, ocr_lines, ocr_line_text, ocr_badge_merge, ocr_regions, first_corner_hit,
 )}
+PROGRAMS = {"normalize_text": normalize_text, "text_kind": text_kind}
