@@ -225,7 +225,7 @@ def judged(stats: DataFrame, least: int = LEAST) -> DataFrame:
     good = stats.where("not base_failed").select("lang", "source", *STATS)
     known = cut(pools(good, least))
     params = mcd(cut(good.join(known, ["lang", "source"]).select(F.explode("feeds").alias("pool"), *STATS)))
-    told = known.select("lang", "source", "pool").join(params, "pool").drop("pool")
+    told = cut(known.select("lang", "source", "pool").join(params, "pool").drop("pool"))  # a few numbers a group
     joined = _levels(stats.join(told, ["lang", "source"], "left"), [[x] for x in _distance()])
     return joined.selectExpr("*", f"not base_failed and coalesce({_ACCEPTED}, false) as kept")
 

@@ -406,12 +406,17 @@ def _resolve(buckets: int):
     return run
 
 
-def _finish(length: int, text_too: bool):
+def _finish(length: int, text_too: bool, once: bool):
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
         out: list[list] = [[] for _ in range(7)]
+        seen: set[tuple[int, bytes]] = set()
         for k, doc in enumerate(have.doc):
             raw = have.text[k]
+            if once:
+                if (doc, raw) in seen:
+                    continue
+                seen.add((doc, raw))
             found = have.of(k)
             spans: list[list[int]] = []
             if len(raw) >= length and have.is_copy(k):
@@ -439,10 +444,10 @@ def _finish(length: int, text_too: bool):
 PACKED = "b int, kind int, blob binary"
 
 
-def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, text_too: bool = False, once: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans long, kept_sha256 string, kept string (the remaining bytes as text, if
     asked for; bytes of characters that were cut are left out) and h long (xxhash64 of the text) of every row of docs
-    (doc_id, text).  Rows with the same doc_id and text have the same result."""
+    (doc_id, text).  Rows with the same doc_id and text have the same result; `once` gives one row for all of them."""
     spark = docs.sparkSession
     importable(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -475,7 +480,7 @@ def dedup(docs: DataFrame, text_too: bool = False, hot: int = HOT) -> DataFrame:
     contexts = by.groupBy("b").cogroup(shared.unionByName(known).groupBy("b")).applyInArrow(_contexts(buckets), PACKED)
     ranges = cut(contexts.groupBy("b").applyInArrow(_resolve(buckets), PACKED))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, h long"
-    return by.groupBy("b").cogroup(ranges.unionByName(known).groupBy("b")).applyInArrow(_finish(LENGTH, text_too), schema)
+    return by.groupBy("b").cogroup(ranges.unionByName(known).groupBy("b")).applyInArrow(_finish(LENGTH, text_too, once), schema)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
