@@ -39,11 +39,10 @@ def blur(a: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def gradients(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a = a.astype(np.float64)
     h, w = a.shape
-    step = lambda x, d, axis: np.take(x, mirrored(x.shape[axis], np.arange(x.shape[axis]) + d), axis)
-    across, down = step(a, 1, 1) - step(a, -1, 1), step(a, 1, 0) - step(a, -1, 0)
-    return step(across, -1, 0) + 2 * across + step(across, 1, 0), step(down, -1, 1) + 2 * down + step(down, 1, 1)
+    p = np.pad(a.astype(np.float64), [(1, 1), (1, 1)], "reflect" if min(h, w) > 1 else "edge")
+    across, down = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    return across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
 
 
 def edge_l1(a: np.ndarray) -> np.ndarray:
@@ -71,12 +70,15 @@ def canny(gray: np.ndarray, low: float, high: float) -> np.ndarray:
     )
     thin = np.zeros_like(m)
     thin[inner] = np.where(m[inner] >= most, m[inner], 0)
-    weak, grown = thin >= max(low, 1e-12), thin >= high
-    while True:
-        new = weak & widened(grown, 3) | grown
-        if (new == grown).all():
-            return grown
-        grown = new
+    weak, grown = (thin >= max(low, 1e-12)).ravel(), (thin >= high).ravel()
+    width = m.shape[1]  # weak places are never on a border, so neighbours are places of the flat image
+    around = np.array([-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1])
+    front = np.flatnonzero(grown)
+    while len(front):
+        near = np.unique((front[:, None] + around).ravel())
+        front = near[weak[near] & ~grown[near]]
+        grown[front] = True
+    return grown.reshape(m.shape)
 
 
 def widened(mask: np.ndarray, width: int) -> np.ndarray:
@@ -118,6 +120,13 @@ def slide(search: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.stack([row.reshape(len(row), -1) @ flat for row in view])
 
 
+def box_sums(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sum over a box of that shape at every offset."""
+    c = np.pad(a.astype(np.float64), [(1, 0), (1, 0)]).cumsum(0).cumsum(1)
+    h, w = shape
+    return c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w]
+
+
 def first_best(score: np.ndarray) -> tuple[float, int, int]:
     """Greatest value, x and y of its first place by rows."""
     y, x = np.unravel_index(int(np.argmax(score)), score.shape)
@@ -128,10 +137,9 @@ def ncc(search: np.ndarray, template: np.ndarray) -> tuple[float, int, int]:
     """Best normalised correlation, x, y over the offsets where both sides vary; 0 at the origin where none does."""
     t = template.astype(np.float64) - template.mean()
     norm, n = math.sqrt(float((t * t).sum())), t.size
-    ones = np.ones(t.shape)
-    total, squares = slide(search, ones), slide(np.square(search.astype(np.float64)), ones)
+    total, squares = box_sums(search, t.shape), box_sums(np.square(search.astype(np.float64)), t.shape)
     spread = squares - total * total / n
-    ok = spread > 1e-10
+    ok = spread > max(1e-10, 1e-13 * float(np.square(search.astype(np.float64)).sum()))  # beyond rounding
     if norm <= 1e-10 or not ok.any():
         return 0.0, 0, 0
     return first_best(np.where(ok, slide(search, t) / (np.sqrt(np.where(ok, spread, 1)) * norm), -np.inf))

@@ -17,6 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from markfield.functions import detectors as det
 from markfield.functions import kernels as k
@@ -81,6 +82,37 @@ def scores(images: DataFrame, templates: det.Templates) -> DataFrame:
     return each_image(images, templates, lambda image, t: [f(image, t) for f in (*det.DETECTORS.values(), det.gemini)])
 
 
+def outlined(image: det.Image, found: list[dict]) -> bytes:
+    """The image as a PNG with its regions framed, for review."""
+    rgb = image.rgb.copy()
+    for r in found:
+        x, y, x1, y1 = r["x"], r["y"], r["x"] + r["width"] - 1, r["y"] + r["height"] - 1
+        rgb[[y, y1], x : x1 + 1] = (255, 0, 0)
+        rgb[y : y1 + 1, [x, x1]] = (255, 0, 0)
+    return k.encode_png(rgb)
+
+
+def run_batch(images: DataFrame, templates: det.Templates, handle: Callable[[det.Image, list[dict]], bytes] = outlined) -> DataFrame:
+    """img, status, regions, providers, content, error of every image: done with what `handle` makes of its regions, unchanged
+    with its own bytes where there is none, failed with the error that the user sees.  A failure is its image's alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for img, width, height, content in zip(*(b[c].to_pylist() for c in ("img", "width", "height", "content")), strict=True):
+                try:
+                    image = read_image(content, width, height)
+                    found = det.detect_all(image, templates)
+                    names = "、".join(dict.fromkeys(r["provider"] for r in found))
+                    rows.append((img, "done" if found else "unchanged", len(found), names, handle(image, found) if found else content, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((img, "failed", 0, "", None, f"{type(e).__name__}: {e}"))
+            kinds = {"img": pa.int64(), "status": pa.string(), "regions": pa.int64(), "providers": pa.string(), "content": pa.binary(), "error": pa.string()}
+            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds.values())], list(kinds))
+
+    return images.select("img", "width", "height", "content").mapInArrow(run, "img long, status string, regions long, providers string, content binary, error string")
+
+
 # Images and templates of the queries.
 
 WIDTH, HEIGHT = 200, 160
@@ -197,6 +229,13 @@ def template_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(told_, "name string, source string").mapInArrow(run, "name string, height long, width long, foreground long, error string")
 
 
+def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = sample_images(spark, sf_dir)
+    done = run_batch(images, sample_templates())
+    own = images.select("img", F.col("content").alias("own"))
+    return done.join(own, "img").select("img", "status", "regions", "providers", F.coalesce(F.col("content") == F.col("own"), F.lit(False)).alias("same_bytes"), "error")
+
+
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of marks: one row a mark of a fixed place."""
     rows = [(m.name, m.provider, m.base, *m.size, *m.at, m.origin, *m.radius, *map(float, m.contrast), *map(float, m.shape), list(m.box), *m.context, m.both, m.high_pass) for m in det.MARKS]
@@ -204,5 +243,5 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROGRAMS = {f"detect_{n}": partial(query, n) for n in (*det.DETECTORS, "gemini")} | {
-    "detect_regions": all_regions, "debug_detect": all_scores, "decode_file": decode_files, "decode_mask": template_masks, "detector_parameters": parameters,
+    "detect_regions": all_regions, "debug_detect": all_scores, "decode_file": decode_files, "process_batch": process_batch, "decode_mask": template_masks, "detector_parameters": parameters,
 }

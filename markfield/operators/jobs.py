@@ -177,7 +177,19 @@ def result_upsert(d):
 
 
 def result_delete(d):
-    return f"select event_id as id, event_type as status from {d.t('events')} e where not exists (select 1 from {d.t('events')} x where x.user_id = e.user_id and x.event_type = 'error')"
+    return f"select event_id as id, event_type as status from {d.t('events')} e where not exists (select 1 from {d.t('events')} x where x.user_id = e.user_id and x.event_type = 'error' and x.event_id % 40 = 0)"
+
+
+def result_load(d):
+    """The stored result of every key that is looked up: its last write, none if a deletion came later or nothing was kept."""
+    return f"""with w as (select user_id as id, event_type as status, event_id as version, event_type = 'error' as gone, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {d.t('events')})
+    select c_custkey as id, case when gone then null else status end as status, case when gone then null else version end as version from {d.t('customer')} left join w on w.id = c_custkey and r = 1"""
+
+
+def storage_summary(d):
+    """Use, quota and what is free; nothing is known without an estimate."""
+    return f"""with u as (select user_id as id, count(*) as n, cast(sum(event_id) as bigint) as used from {d.t('events')} group by user_id)
+    select id, case when n % 4 = 0 then null else used end as used, case when n % 4 = 0 then null else n * 100000 end as quota, case when n % 4 = 0 then null else greatest(0, n * 100000 - used) end as free from u"""
 
 
 def restore_results(d):
@@ -283,7 +295,7 @@ def chunk_cache_key(d):
 
 
 def cached(d) -> str:
-    return f"{chunks(d)}, cache as (select file, idx, case when src % 10 = 0 then size - 1 else size end as size from ch where src % 4 <> 0)"
+    return f"{chunks(d)}, cache as (select file, idx, case when src % 10 = 1 then size - 1 else size end as size from ch where src % 4 <> 0)"
 
 
 def cache_coverage(d):
@@ -298,6 +310,18 @@ def runtime_ready(d):
     return f"with {cached(d)} select ch.file, bool_and(cache.idx is not null) as ready from ch left join cache on cache.file = ch.file and cache.idx = ch.idx and cache.size = ch.size group by ch.file"
 
 
+# What a model's cache is called.
+CACHED, MISSING, UNCERTAIN = "已缓存", "未缓存", "未确认"
+
+
+def cache_presentation(d):
+    """Label, class and visibility of a model's cache: hidden without support, uncertain if unknown, cached only where all
+    parts are there and the runtime is ready."""
+    return f"""with {cached(d)}, c as (select ch.file, count(*) as total, count(cache.idx) as have from ch left join cache on cache.file = ch.file and cache.idx = ch.idx and cache.size = ch.size group by ch.file),
+    s as (select file, total, have, file % 13 <> 0 as supported, file % 11 = 0 as unknown, file % 3 <> 0 as ready from c), t as (select file, supported, case when not supported then '' when unknown then '{UNCERTAIN}' when total > 0 and have = total and ready then '{CACHED}' else '{MISSING}' end as text from s)
+    select file, text, case text when '' then '' when '{UNCERTAIN}' then 'partial' when '{CACHED}' then 'cached' else 'missing' end as class, not supported as hidden from t"""
+
+
 def source_order(d):
     """Mirror, hub, own site; a model without a hub address has two.  Preferring the hub moves it to the front, preferring
     the own site turns the order round; the source that worked last in this session goes first."""
@@ -361,7 +385,7 @@ QUERIES = {f.__name__: f for f in (
     scan_files, accept_files, needs_processing, has_result, state_text, error_class, oom_classify, output_format, original_format, output_name, zip_entry_names,
     zip_layout, dos_datetime, batch_admission, batch_bytes, batch_totals, queue_summary, capacity_check, result_upsert, result_delete, restore_results,
     last_result, batch_explode, passthrough_bytes, crc32, session_poison, slow_switch, range_check, timing_ewma, batch_estimate, stratified_sample, parity_diff, parity_negatives, parity_fixtures,
-    manifest_except, chunk_offsets, chunk_split, chunk_cache_key, cache_coverage, cache_evict, runtime_ready, source_order, chunk_retry_fold, oom_retry_fold,
+    manifest_except, result_load, storage_summary, cache_presentation, chunk_offsets, chunk_split, chunk_cache_key, cache_coverage, cache_evict, runtime_ready, source_order, chunk_retry_fold, oom_retry_fold,
     thread_policy,
 )}
 #: DuckDB has no CRC-32.

@@ -160,7 +160,7 @@ def region_union(d):
 
 
 def provider_list(d):
-    firsts = f"f as (select img, case kind when 0 then '豆包' when 1 then '千问' else 'Gemini' end as p, min(ord) as o from c where shape > 0.3 group by img, kind)"
+    firsts = f"f as (select img, case kind when 0 then '豆包' when 1 then '千问' else 'Gemini' end as p, min(ord) as o from c where gradient > 0.3 group by img, kind)"
     return f"with {candidates(d)}, {firsts} select img, {d.join(d.gather('p', 'o'), '、')} as providers from f group by img"
 
 

@@ -1,22 +1,29 @@
-"""Incremental queue: results of a stream are upserted by key, so a restart from the checkpoint repeats nothing."""
+"""Incremental queue: results of a stream are kept by key, so a restart from the checkpoint repeats nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def latest(results: DataFrame, key: str = "id", version: str = "saved_at") -> DataFrame:
-    """Last write of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    return results.withColumn("rank__", F.row_number().over(w)).where("rank__ = 1").drop("rank__")
+def latest(results: DataFrame, key: str = "id", *version: str) -> DataFrame:
+    """Last write of each key, by the columns of version (default saved_at); aggregated before it is shuffled."""
+    rest = [c for c in results.columns if c != key]
+    newest = F.max_by(F.struct(*rest), F.struct(*(version or ("saved_at",)))).alias("row__")
+    return results.groupBy(key).agg(newest).select(*[F.col(c) if c == key else F.col(f"row__.{c}").alias(c) for c in results.columns])
 
 
 def keep_results(stream: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Appends each micro-batch's last results to `path` once (a folder a batch: a repeated batch overwrites its own)."""
+    """Writes each micro-batch's last results to `path` once (a folder a batch: a repeated batch overwrites its own).
+    read_results merges the batches."""
 
     def write(batch: DataFrame, number: int) -> None:
         latest(batch, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_results(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """Last write of each key over all batches; of equal times the later batch's."""
+    return latest(spark.read.parquet(path), key, "saved_at", "batch").drop("batch")
