@@ -9,11 +9,9 @@ goes into them is found by anchors, exactly:
      share.
   2. Shared anchors.  Anchor keys are dealt to buckets; a bucket keeps the anchors that occur in two documents or more.
   3. Contexts.  The windows that have one anchor follow each other; the bytes they cover are its context.  Equal contexts
-     are one, with its smallest doc_id; an occurrence in a larger document goes whole.  Different contexts of an anchor
-     are trimmed on either side to the most that any other of them has in common there, which loses no shared window,
-     and those that become shorter than a window are left out.
-  4. Suffix arrays over the remaining contexts of each bucket, a few anchors at a time: windows that are neighbours in
-     the order and equal are one class, and all of it but what starts in its smallest document is removed.
+     of an anchor are one, with its smallest doc_id (they are aggregated, not decided).
+  4. Suffix arrays over all contexts of every shared anchor: windows that are neighbours in the order and equal are one
+     class, whose smallest document is that of its contexts.  A window goes from every document greater than that.
 
 An anchor in more than HOT occurrences of a map task's share is dealt out window by window: each of its windows is a
 context of its own in a bucket that its content names, so no bucket gathers all contexts of one anchor.  Documents
@@ -36,12 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markfield.llm.gsaca import suffix_array
+from markfield.llm.gsaca import ranges, suffix_arrays
 from markfield.llm.shared import cut, importable, table, text_or_empty
 
 LENGTH, GRAM, HOT = 50, 20, 50_000
-#: Bytes of contexts that go into one suffix array (more only if one anchor has more).
-CHUNK = 1 << 15
 NO_ID = 2**63 - 1
 
 
@@ -241,7 +237,7 @@ def _contexts(buckets: int):
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
-        out: dict[str, list] = {"key": [], "doc": [], "tag": [], "from": [], "n": [], "gram": []}
+        out: dict[str, list] = {"key": [], "doc": [], "tag": [], "from": [], "n": []}
         texts = []
         for k, doc in enumerate(have.doc):
             found = have.of(k)
@@ -253,95 +249,50 @@ def _contexts(buckets: int):
                 windows, gram = divmod(shape, 64)
                 b = p + windows + LENGTH - 1
                 if not hot:
-                    out["key"].append(h(text[p + gram : p + gram + GRAM])), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(p), out["n"].append(b - p), out["gram"].append(gram)
+                    out["key"].append(h(text[p + gram : p + gram + GRAM])), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(p), out["n"].append(b - p)
                     texts.append(text[p:b])
                 else:  # each window on its own; its content names the bucket
                     for x in range(p, p + windows):
                         w = text[x : x + LENGTH]
-                        out["key"].append(h(w)), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(x), out["n"].append(LENGTH), out["gram"].append(0)
+                        out["key"].append(h(w)), out["doc"].append(doc), out["tag"].append(tag), out["from"].append(x), out["n"].append(LENGTH)
                         texts.append(w)
         k = np.array(out["key"], np.uint64)
         doc, tag, start = np.array(out["doc"], np.int64), np.array(out["tag"], np.uint32), np.array(out["from"], np.int64)
-        n, gram = np.array(out["n"], np.uint8), np.array(out["gram"], np.uint8)
+        n = np.array(out["n"], np.uint8)
         rows = []
         for b, i in _split((k % np.uint64(buckets)).astype(np.int64)):
-            rows.append((b, _pack(key=k[i], doc=doc[i], tag=tag[i], start=start[i], n=n[i], gram=gram[i], text=np.frombuffer(b"".join([texts[x] for x in i.tolist()]), np.uint8))))
+            rows.append((b, _pack(key=k[i], doc=doc[i], tag=tag[i], start=start[i], n=n[i], text=np.frombuffer(b"".join([texts[x] for x in i.tolist()]), np.uint8))))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def removed_ranges(groups: list[list[tuple[bytes, int]]], length: int = LENGTH) -> list[list[list[tuple[int, int]]]]:
-    """Per group and context (text, smallest document): ranges of windows [a, b) of starts that also start in a context
-    with a smaller document.  One suffix array over all groups' contexts."""
-    where, texts, docs = [], [], []
-    for g, group in enumerate(groups):
-        for c, (text, doc) in enumerate(group):
-            where.append((g, c))
-            texts.append(text)
-            docs.append(doc)
-    codes = []
-    for t in texts:
-        codes.extend([x + 2 for x in t])
-        codes.append(1)
-    sa = np.array(suffix_array(codes), np.int64)
-    flat = np.frombuffer(b"\0".join(texts) + b"\0" * (length + 1), np.uint8)
-    n = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
-    of = np.repeat(np.arange(len(texts)), n + 1)
-    inside = (np.arange(len(of)) - starts[of]) <= (n[of] - length)
-    order = sa[inside[sa]]
-    out: list[list[list[tuple[int, int]]]] = [[[] for _ in g] for g in groups]
+def least_documents(flat: np.ndarray, ends: np.ndarray, groups: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows of contexts, and the smallest document of a context that has the same window in the same
+    group.  flat: bytes of the contexts, each followed by one more; ends: places of these; groups: their places in ends of
+    each group's last context; doc: a document of every context.  One suffix array a group: equal windows are neighbours
+    in its order."""
+    codes = flat.astype(np.int64) + 2
+    codes[ends] = 1
+    last = ends[groups] + 1
+    sa = suffix_arrays(codes, last)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    of = np.repeat(np.arange(len(ends)), ends + 1 - begins)
+    fits = np.arange(len(flat)) + length <= ends[of]
+    text = np.repeat(np.arange(len(last)), np.diff(np.concatenate([[0], last])))
+    keep = fits[sa]
+    order, text = sa[keep], text[keep]
     if not len(order):
-        return out
+        return order, order
     windows = np.lib.stride_tricks.sliding_window_view(flat, length)
-    new = np.concatenate([[True], (windows[order[1:]] != windows[order[:-1]]).any(1)])
+    new = np.concatenate([[True], text[1:] != text[:-1]])
+    for at in range(0, len(order) - 1, 1 << 18):  # bounded memory
+        x, y = order[at : at + (1 << 18)], order[at + 1 : at + 1 + (1 << 18)]
+        new[at + 1 : at + 1 + len(y)] |= (windows[x[: len(y)]] != windows[y]).any(1)
     first = np.flatnonzero(new)
-    doc = np.array(docs, np.int64)[of[order]]
-    least = np.repeat(np.minimum.reduceat(doc, first), np.diff([*first, len(order)]))
-    hit = np.sort(order[doc > least])
-    for c, places in zip(*_runs_by(of[hit], hit), strict=True):
-        g, x = where[c]
-        p = places - starts[c]
-        breaks = np.flatnonzero(np.diff(p) > 1) + 1
-        out[g][x] = [(int(r[0]), int(r[-1]) + 1) for r in np.split(p, breaks)]
-    return out
-
-
-def _runs_by(label: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    if not len(label):
-        return [], []
-    cuts = np.flatnonzero(label[1:] != label[:-1]) + 1
-    return label[np.concatenate([[0], cuts])].tolist(), np.split(values, cuts)
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n  # equal up to lo, not up to hi
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
-    return lo
-
-
-def _most_common(sides: list[bytes]) -> list[int]:
-    """For each string the longest beginning that it has in common with any other: with a neighbour in sorted order."""
-    order = sorted(range(len(sides)), key=sides.__getitem__)
-    out = [0] * len(sides)
-    for x, y in zip(order, order[1:]):
-        n = _common(sides[x], sides[y])
-        out[x], out[y] = max(out[x], n), max(out[y], n)
-    return out
-
-
-def trimmed(contents: list[tuple[bytes, int]], gram: int = GRAM) -> list[tuple[int, int]]:
-    """Per context (text, offset of its anchor) the part [a, b) outside of which no window is shared with another."""
-    left = _most_common([t[:g][::-1] for t, g in contents])
-    right = _most_common([t[g + gram :] for t, g in contents])
-    return [(g - x, g + gram + y) for (_, g), x, y in zip(contents, left, right, strict=True)]
+    least = np.repeat(np.minimum.reduceat(doc[of[order]], first), np.diff(np.append(first, len(order))))
+    by_place = np.argsort(order)
+    return order[by_place], least[by_place]
 
 
 def _resolve(buckets: int):
@@ -349,57 +300,46 @@ def _resolve(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         parts = [_unpack(x) for x in t["blob"].to_pylist()]
-        key, doc, tag, start, n, gram = (np.concatenate([x[c] for x in parts]) for c in ("key", "doc", "tag", "start", "n", "gram"))
+        key, doc, tag, start, n = (np.concatenate([x[c] for x in parts]) for c in ("key", "doc", "tag", "start", "n"))
         raw = b"".join([x["text"].tobytes() for x in parts])
         ends = np.cumsum(n.astype(np.int64))
-        begins = ends - n
-        order = np.lexsort((doc, key))
-        docs, begin_l, end_l, gram_l = doc.tolist(), begins.tolist(), ends.tolist(), gram.tolist()
-        ranges: list[tuple[int, int, int]] = []  # (occurrence, from, to) in bytes of its context
-        # Groups of contexts for one suffix array: (text, smallest document) and where each text comes from.
-        waiting: list[tuple[list[tuple[bytes, int]], list[list[tuple[int, int]]]]] = []
-        held = 0
-
-        def settle() -> None:
-            nonlocal waiting, held
-            if waiting:
-                for (_, members), found in zip(waiting, removed_ranges([g for g, _ in waiting]), strict=True):
-                    for rows, spans in zip(members, found, strict=True):
-                        ranges.extend((r, at + a, at + b + LENGTH - 1) for r, at in rows for a, b in spans)
-            waiting, held = [], 0
-
-        sorted_key = key[order]
-        cuts = np.flatnonzero(sorted_key[1:] != sorted_key[:-1]) + 1
-        for rows in np.split(order, cuts):
-            contents: dict[tuple[bytes, int], list[int]] = {}
-            for r in rows.tolist():  # by ascending document
-                contents.setdefault((raw[begin_l[r] : end_l[r]], gram_l[r]), []).append(r)
-            for same in contents.values():
-                least = docs[same[0]]
-                ranges.extend((r, 0, end_l[r] - begin_l[r]) for r in same if docs[r] > least)
-            if len(contents) > 1:
-                trim: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
-                for ((text, g), same), (a, b) in zip(contents.items(), trimmed(list(contents)), strict=True):
-                    if b - a >= LENGTH:
-                        least = docs[same[0]]
-                        trim.setdefault((text[a:b], g - a), []).extend((r, a) for r in same if docs[r] == least)
-                for (text, _), same in trim.items():
-                    least = min(docs[r] for r, _ in same)
-                    ranges.extend((r, a, a + len(text)) for r, a in same if docs[r] > least)
-                if len(trim) > 1:
-                    group, members = [], []
-                    for (text, _), same in trim.items():
-                        least = min(docs[r] for r, _ in same)
-                        group.append((text, least))
-                        members.append([x for x in same if docs[x[0]] == least])
-                    waiting.append((group, members))
-                    held += sum(len(x) for x, _ in group)
-                    if held >= CHUNK:
-                        settle()
-        settle()
-        if not ranges:
+        order = np.argsort(key, kind="stable")  # a key's contexts one after another
+        key, doc, tag, start, n, ends = (x[order] for x in (key, doc, tag, start, n, ends))
+        # Equal contexts of a key are one, with its smallest document; keys of one document have nothing to remove.
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        shared = np.repeat(np.minimum.reduceat(doc, cuts) < np.maximum.reduceat(doc, cuts), np.diff(np.append(cuts, len(key)))) if len(key) else np.zeros(0, bool)
+        key, doc, tag, start, n, ends = (x[shared] for x in (key, doc, tag, start, n, ends))
+        known: dict[tuple[int, bytes], int] = {}
+        own = np.array([known.setdefault((k, raw[e - m : e]), len(known)) for k, e, m in zip(key.tolist(), ends.tolist(), n.tolist(), strict=True)], np.int64)
+        if not known:
             return pa.Table.from_batches([_batch([])])
-        r, a, b = np.array(ranges, np.int64).T
+        smallest = np.full(len(known), NO_ID, np.int64)
+        np.minimum.at(smallest, own, doc)
+        flat = np.frombuffer(b"\0".join([x for _, x in known]) + b"\0", np.uint8)
+        stops = np.cumsum([len(x) + 1 for _, x in known]) - 1
+        keys = np.array([k for k, _ in known], np.uint64)
+        groups = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1)
+        place, least = least_documents(flat, stops, groups, smallest)
+        # A context's windows: with every document greater than the window's least they go; runs of them are ranges.
+        of = np.searchsorted(stops, place)
+        rows = np.argsort(own, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(known)))])
+        out: list[tuple[np.ndarray, ...]] = []
+        for all_but_smallest in (False, True):
+            # In the smallest document a window goes if its least one is smaller; in the others each does that has one.
+            gone = least <= smallest[of] if all_but_smallest else least < smallest[of]
+            p, c = place[gone], of[gone]
+            opens = np.concatenate([[True], (np.diff(p) > 1) | (c[1:] != c[:-1])]) if len(p) else np.zeros(0, bool)
+            first = np.flatnonzero(opens)
+            c, a, b = c[first], p[first], p[np.append(first[1:], len(p)) - 1] + LENGTH if len(p) else p
+            origin = np.concatenate([[0], stops[:-1] + 1])[c]
+            many = begin[c + 1] - begin[c]
+            row = rows[ranges(begin[c], many)]
+            run_ = np.repeat(np.arange(len(c)), many)
+            wanted = (doc[row] > smallest[c[run_]]) == all_but_smallest
+            row, run_ = row[wanted], run_[wanted]
+            out.append((row, (a - origin)[run_], (b - origin)[run_]))
+        r, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         d, s, w = doc[r], start[r], tag[r]
         return pa.Table.from_batches([_batch([(k, _pack(doc=d[i], tag=w[i], at=(s + a)[i], to=(s + b)[i])) for k, i in _split(_doc_bucket(d, buckets))], 1)])
 

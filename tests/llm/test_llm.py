@@ -8,10 +8,11 @@ from array import array
 import numpy as np
 import pytest
 from conftest import SMALL
+from fixtures import DOCS
 
 from markfield.llm import gsaca, licenses, line_dedup, packing, pieces, quality, queries, simhash, suffix_dedup
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, same_as_sql, name):
     assert same_as_sql(queries.QUERIES[name](spark, SMALL), queries.SQL[name]) > 0
@@ -25,6 +26,26 @@ def test_suffix_array():
     assert gsaca.suffix_array([]) == []
 
 
+@pytest.mark.parametrize(("long", "step"), [(gsaca.LONG, gsaca.STEP), (20, 50)])
+def test_suffix_arrays_of_many_texts(monkeypatch, long, step):
+    monkeypatch.setattr(gsaca, "LONG", long)
+    monkeypatch.setattr(gsaca, "STEP", step)
+    rng = random.Random(7)
+    for _ in range(100):
+        texts = [[rng.randint(1, rng.choice([1, 2, 5, 200])) for _ in range(rng.randint(1, 60))] for _ in range(rng.randint(1, 12))]
+        ends = np.cumsum([len(t) for t in texts])
+        want = [e - len(t) + i for t, e in zip(texts, ends.tolist(), strict=True) for i in sorted(range(len(t)), key=lambda i: t[i:])]
+        assert gsaca.suffix_arrays(np.concatenate([np.array(t) for t in texts]), ends).tolist() == want
+
+
+def test_suffix_arrays_decide_what_goes(spark):
+    passage = "this passage of more than fifty bytes stands in each of the documents here, "
+    docs = spark.createDataFrame([(i, f"{i} {passage * 2}{i}", "", "", 0) for i in range(5)], DOCS)
+    assert sum(r.n_removed for r in suffix_dedup.dedup(docs).collect()) >= 4 * 2 * len(passage)
+    places, least = suffix_dedup.least_documents(np.frombuffer(b"abcabcab.bcabca.", np.uint8), np.array([8, 15]), np.array([1]), np.array([3, 1]), 3)
+    assert dict(zip(places.tolist(), least.tolist(), strict=True)) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 1, 10: 1, 11: 1, 12: 1}
+
+
 def brute_repeats(docs, n=50):
     first, out = {}, {}
     key = lambda i: suffix_dedup.NO_ID if i is None else i
