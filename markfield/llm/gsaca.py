@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Characters beyond which a text is sorted by itself, and of the texts that are sorted in step.
-LONG, STEP = 8192, 1 << 20
+LONG, STEP = 8192, 1 << 19
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -38,6 +38,8 @@ from markfield.llm.gsaca import ranges, suffix_arrays
 from markfield.llm.shared import cut, importable, table, text_or_empty
 
 LENGTH, GRAM, HOT = 50, 20, 50_000
+#: Bytes of contexts whose suffix arrays are made together (more only if one anchor has more).
+CHUNK = 1 << 20
 NO_ID = 2**63 - 1
 
 
@@ -315,11 +317,19 @@ def _resolve(buckets: int):
             return pa.Table.from_batches([_batch([])])
         smallest = np.full(len(known), NO_ID, np.int64)
         np.minimum.at(smallest, own, doc)
-        flat = np.frombuffer(b"\0".join([x for _, x in known]) + b"\0", np.uint8)
-        stops = np.cumsum([len(x) + 1 for _, x in known]) - 1
+        texts = [x for _, x in known]
+        stops = np.cumsum([len(x) + 1 for x in texts]) - 1
         keys = np.array([k for k, _ in known], np.uint64)
         groups = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1)
-        place, least = least_documents(flat, stops, groups, smallest)
+        found, at = [], 0  # a few groups at a time: bounded memory
+        for some in np.split(groups, np.flatnonzero(np.diff(stops[groups] // CHUNK)) + 1):
+            end = some[-1] + 1
+            origin = stops[at - 1] + 1 if at else 0
+            flat = np.frombuffer(b"\0".join(texts[at:end]) + b"\0", np.uint8)
+            p, q = least_documents(flat, stops[at:end] - origin, some - at, smallest[at:end])
+            found.append((p + origin, q))
+            at = end
+        place, least = (np.concatenate(x) for x in zip(*found, strict=True))
         # A context's windows: with every document greater than the window's least they go; runs of them are ranges.
         of = np.searchsorted(stops, place)
         rows = np.argsort(own, kind="stable")
