@@ -29,12 +29,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markfield.llm.shared import cut, table, text_or_empty
 
 CAPACITY, NODES, STATES = 2048, 2000, 500
+#: Pieces of a part of a length, and parts beyond one a length.
+SHARE, PARTS = 1 << 18, 1 << 16
 #: Entries of a worker's cache of words; beyond it the cache starts anew.  Longer chunks are not remembered.
 CACHE, REMEMBER = 500_000, 64
 #: Characters that Python takes for white space and the tokenizer may not, or that may be white space to it alone, and
@@ -319,29 +321,52 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
     return out
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Adds sequence_id long and offset long to rows of (doc_id, piece, length, ids_crc32, ...)."""
+def _clipped(runs: list[tuple], counts: dict[int, list[tuple[int, int]]]) -> list[tuple]:
+    """Runs of slots as the parts of a length see them: (length, part, first of the part's ranks that is in the run, counted
+    in the part; rank of the part's first piece; lo, seq, times, off of the run).  counts: parts with their pieces."""
+    out, of = [], {}
+    for run in runs:
+        of.setdefault(run[0], []).append(run)  # by rank
+    for length, parts in counts.items():
+        first, at = 0, 0
+        for part, n in parts:
+            while of[length][at][2] < first:
+                at += 1
+            k = at
+            while k < len(of[length]) and of[length][k][1] < first + n:
+                _, lo, _, seq, times, off = of[length][k]
+                out.append((length, part, max(lo, first) - first, first, lo, seq, times, off))
+                k += 1
+            first += n
+    return out
+
+
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, share: int = SHARE) -> DataFrame:
+    """Adds sequence_id long and offset long to rows of (doc_id, piece, length, ids_crc32, ...).
+
+    A length's pieces are dealt to parts of about `share` pieces by hash, so a hot length is many tasks' work, and ranked in
+    their part; a part's runs of slots stand among its pieces at the ranks where they begin, and a piece takes the last run
+    before it.  The driver sees counts of lengths and parts: capacity and at most PARTS more."""
     spark = cut_pieces.sparkSession
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)).cast("int"))
-    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    table_ = pa.table(
-        [pa.array(x, pa.int64()) for x in zip(*slots(plan(histogram, capacity, nodes)), strict=True)] or [pa.array([], pa.int64())] * 6,
-        names=["length", "lo", "hi", "seq", "times", "off"],
-    )
-    before = counts.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as first")
-    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as r")
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("r", F.col("r") + F.col("first"))
-    # A length's slot runs as one array, sorted by rank: at most capacity rows (64 x capacity above), so both
-    # broadcasts have a fixed bound.
-    runs = spark.createDataFrame(table_).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "seq", "times", "off"))).alias("runs"))
-    placed = ranked.join(F.broadcast(runs), "length")
-    placed = placed.withColumn("s", F.element_at(F.filter("runs", lambda x: (x["lo"] <= F.col("r")) & (F.col("r") <= x["hi"])), 1))
-    return placed.selectExpr(
-        *(f"`{c}`" for c in cut_pieces.columns),
-        "s.seq + (r - s.lo) % s.times as sequence_id",
-        "s.off + length * ((r - s.lo) div s.times) as offset",
-    )
+    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
+    share = max(share, sum(histogram.values()) // PARTS + 1)
+    own = spark.createDataFrame([(x, -(-n // share)) for x, n in histogram.items()], "length long, parts long")
+    keyed = cut_pieces.join(F.broadcast(own), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in keyed.groupBy("length", "part").agg(F.count("*").alias("n")).orderBy("length", "part").collect():
+        counts.setdefault(r["length"], []).append((r["part"], r["n"]))
+    names = ("length", "part", "at", "first", "lo", "seq", "times", "off")
+    told = list(zip(*_clipped(slots(plan(histogram, capacity, nodes)), counts), strict=True)) or [[]] * len(names)
+    runs = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in told], names=list(names)))
+    piece = F.struct(*[F.col(c) for c in cut_pieces.columns]).alias("p")
+    run_ = F.struct("at", "first", "lo", "seq", "times", "off").alias("run")
+    both = keyed.select("length", "part", F.lit(1).alias("kind"), piece).unionByName(runs.select("length", "part", F.lit(0).alias("kind"), run_), allowMissingColumns=True)
+    by = Window.partitionBy("length", "part")
+    ranked = by.orderBy("kind", "p.doc_id", "p.piece", "p.ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("r", F.when(F.col("kind") == 1, F.sum("kind").over(ranked) - 1).otherwise(F.col("run.at")))
+    upto = by.orderBy("r", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("s", F.last("run", ignorenulls=True).over(upto)).where("kind = 1").withColumn("g", F.col("r") + F.col("s.first") - F.col("s.lo"))
+    return placed.select("p.*", F.expr("s.seq + g % s.times").alias("sequence_id"), F.expr("s.off + length * (g div s.times)").alias("offset"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:

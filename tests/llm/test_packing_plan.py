@@ -70,3 +70,21 @@ def test_fewest_on_small_histograms():
         hist = {rng.randint(3, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
         assert sequences(packing.plan(hist, 40), hist, 40) == fewest(hist, 40), hist
     assert packing.plan({}) == []
+
+
+@pytest.mark.parametrize("share", [packing.SHARE, 3, 40])
+def test_pieces_of_a_hot_length_fill_the_planned_slots(spark, share):
+    rng = random.Random(5)
+    lengths = [700] * 300 + [rng.randint(1, 2048) for _ in range(200)]
+    rows = [(None if i % 50 == 0 else i % 90, i % 3, n, i % 7) for i, n in enumerate(lengths)]
+    made = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long").selectExpr("*", "1 as part", "2 as kind", "3 as r", "4 as s")
+    got = packing.pack(made, share=share).collect()
+    assert sorted(tuple(r)[:3] for r in got if r.doc_id is not None) == sorted(r[:3] for r in rows if r[0] is not None) and len(got) == len(rows)
+    hist = {x: lengths.count(x) for x in lengths}
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(sequences) == sum(n for n, _ in packing.plan(hist))
+    for s in sequences.values():
+        s.sort()
+        assert [a for a, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and s[-1][0] + s[-1][1] <= 2048
