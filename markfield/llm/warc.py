@@ -49,15 +49,16 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 def _write(ordered: DataFrame, path: str) -> str:
     """Files of ordered (file, record), each from one task.  The text writer ends every record with two line ends."""
-    ordered.select("file", "record").write.partitionBy("file").option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    out = ordered.select("file", "record").write.partitionBy("file").option("lineSep", CRLF + CRLF)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     delete_at_exit(ordered.sparkSession, path)
     return path
 
 
 def write_archive(pages: DataFrame) -> str:
-    """Writes the WARC files of all pages to a new shared folder and returns it."""
-    made = records_of(pages).withColumn("sha", F.sha2(F.col("record").cast("binary"), 256))
-    return _write(made.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), "sha"), new_folder(pages.sparkSession))
+    """Writes the WARC files of all pages to a new shared folder and returns it.  Equal page_ids follow by content."""
+    made = records_of(pages).withColumn("h", F.xxhash64("record"))
+    return _write(made.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), "h", "record"), new_folder(pages.sparkSession))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
