@@ -37,6 +37,8 @@ FLOORS = (150, 100, 90, 150, 110)
 SUBSET, CONSISTENCY, WEIGHTED, WEIGHT_FACTOR, CUTOFF = 0.75, 1.412071, 12.832502, 1.055533, 35.857276
 #: Documents that a pool of its own takes; greatest step of a distance; counts of the finer level in one of the coarser.
 LEAST, BINS, WIDE = 40, 65535, 256
+#: Files of the tables that have a row a group.
+FILES = 8
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
@@ -161,8 +163,8 @@ def pools(stats: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, source, pool string (whose estimate judges the group) and feeds array<string> (the pools that its documents
     enter) of every group of stats (lang, source)."""
     pool = _POOL.replace(f">= {LEAST}", f">= {least}")
-    groups = cut(stats.groupBy("lang", "source").agg(F.count("*").alias("n")))
-    langs = cut(groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest")))
+    groups = cut(stats.groupBy("lang", "source").agg(F.count("*").alias("n")), FILES)
+    langs = cut(groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest")), FILES)
     everything = bool(langs.where(F.col("n_lang") < least).limit(1).collect())
     feeds = f"array(case when n >= {least} then {OWN} end, case when n_lang >= {least} and smallest < {least} then {LANG} end, {ALL if everything else 'null'})"
     return groups.join(langs, "lang").selectExpr("lang", "source", f"{pool} as pool", f"array_compact({feeds}) as feeds")
@@ -184,19 +186,19 @@ def mcd(rows: DataFrame) -> DataFrame:
     """pool, means m0.., factor l00.. of the reweighted minimum-covariance-determinant estimate over rows of
     (pool, x1..x5 long), which are read several times."""
     long = rows.selectExpr("pool", f"stack({P}, " + ", ".join(f"{i}, {x}" for i, x in enumerate(STATS)) + ") as (k, x)")
-    middle = cut(_reached(long, ["pool", "k"], "x", 0.5))
+    middle = cut(_reached(long, ["pool", "k"], "x", 0.5), FILES)
     spread = _reached(long.join(middle, ["pool", "k"]).selectExpr("pool", "k", "abs(x - mid) as away"), ["pool", "k"], "away", 0.5)
     both = middle.join(spread.withColumnRenamed("mid", "mad"), ["pool", "k"])
     at = lambda i, x: F.max(F.when(F.col("k") == i, F.col(x)))
-    first = cut(both.groupBy("pool").agg(*[at(i, x).alias(f"{x}{i}") for i in range(P) for x in ("mid", "mad")]))
+    first = cut(both.groupBy("pool").agg(*[at(i, x).alias(f"{x}{i}") for i in range(P) for x in ("mid", "mad")]), FILES)
     starts = rows.join(first, "pool").selectExpr("*", *_SCALED)
     starts = starts.selectExpr("pool", *STATS, f"stack(2, 0, {_EUCLID}, 1, {_MAXIMUM}) as (start, d)").selectExpr("*", _bin("d"))
-    best = cut(_subset_estimate(starts).withColumn("falls", F.lit(True)))
+    best = cut(_subset_estimate(starts).withColumn("falls", F.lit(True)), FILES)
     while best.where("falls").limit(1).collect():  # estimates whose determinant fell are improved once more
         binned = _with_distance(rows, best.where("falls")).selectExpr("pool", "start", *STATS, _bin("sqrt(d2)"))
         new = _subset_estimate(binned).selectExpr("pool", "start", *(f"{c} as new_{c}" for c in _PARAMS))
         both = best.join(new, ["pool", "start"], "left").withColumn("falls", F.coalesce(F.expr("new_det < det"), F.lit(False)))
-        best = cut(both.selectExpr("pool", "start", *(f"case when falls then new_{c} else {c} end as {c}" for c in _PARAMS), "falls"))
+        best = cut(both.selectExpr("pool", "start", *(f"case when falls then new_{c} else {c} end as {c}" for c in _PARAMS), "falls"), FILES)
     chosen = best.groupBy("pool").agg(F.min(F.struct("det", "start", *_PARAMS[:-1])).alias("b")).selectExpr("pool", *(f"b.{c}" for c in _PARAMS))
     near = _with_distance(rows, chosen).where(_REWEIGHTED)
     return _levels(near.groupBy("pool").agg(*[F.expr(x) for x in _moments()]), _estimate()).select("pool", *_PARAMS)
@@ -223,9 +225,9 @@ def judged(stats: DataFrame, least: int = LEAST) -> DataFrame:
     """quality_statistics with d2 (null where a base rule fails and no document of its group passes) and kept.  `stats` is
     read several times."""
     good = stats.where("not base_failed").select("lang", "source", *STATS)
-    known = cut(pools(good, least))
+    known = cut(pools(good, least), FILES)
     params = mcd(cut(good.join(known, ["lang", "source"]).select(F.explode("feeds").alias("pool"), *STATS)))
-    told = cut(known.select("lang", "source", "pool").join(params, "pool").drop("pool"))  # a few numbers a group
+    told = cut(known.select("lang", "source", "pool").join(params, "pool").drop("pool"), FILES)  # a few numbers a group
     joined = _levels(stats.join(told, ["lang", "source"], "left"), [[x] for x in _distance()])
     return joined.selectExpr("*", f"not base_failed and coalesce({_ACCEPTED}, false) as kept")
 

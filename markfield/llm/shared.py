@@ -31,13 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and return the written table: lineage ends there, so an executor
     that is lost later costs no recomputation, and what reads it twice does not compute it twice.  The driver's file
-    system deletes the table when the driver ends."""
+    system deletes the table when the driver ends.  files: at most so many, for tables that are small beside the corpus
+    (each file costs a round of the file system)."""
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
