@@ -371,6 +371,36 @@ def oom_retry_fold(d):
     select run, threads, retries, over_ as ended from w qualify row_number() over (partition by run order by i desc) = 1"""
 
 
+# Why a request of a worker ends without a result.
+REPLACED, LATE, NOT_READY, TIMEOUT = "模型已切换，旧推理已终止", "本张推理超过 30 秒未返回，已终止推理线程", "模型尚未初始化", 30
+
+
+def inference_outcome(d):
+    """How every request to a worker ends.  A purchase starts a worker anew (a generation), an error without a request ends
+    it, a click is a request with an answer some seconds later, or none.  What comes first counts: the answer, the request's
+    time limit, which ends the worker for all, or the worker's end; requests without a worker fail at once."""
+    never = "1000000000"
+    ends = ", ".join(f"coalesce(g.{c}, {never}) as {c}" for c in ("replaced", "broken", "late"))
+    return f"""with e as (select user_id as session, event_id as t, event_type as kind, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as generation from {d.t('events')}),
+    r as (select session, generation, t, case t % 5 when 1 then 'error' when 3 then 'none' else 'result' end as answer, t + 1 + t % 37 as answered from e where kind = 'click'),
+    l as (select *, case when answer = 'none' or answered > t + {TIMEOUT} then t + {TIMEOUT} end as own_late from r),
+    w as (select session, generation, min(case when kind = 'purchase' then t end) as started, min(case when kind = 'error' then t end) as broken from e group by session, generation),
+    late as (select session, generation, min(own_late) as late from l group by session, generation),
+    g as (select w.session, w.generation, n.started as replaced, w.broken, late.late from w left join late on late.session = w.session and late.generation = w.generation left join w n on n.session = w.session and n.generation = w.generation + 1),
+    z as (select l.*, {ends} from l join g on g.session = l.session and g.generation = l.generation), y as (select *, least(replaced, broken, late) as ends from z)
+    select session, t as request, case when generation = 0 or t > ends then '{NOT_READY}' when own_late is null and answered <= ends then answer when own_late <= ends then '{LATE}' when ends = replaced then '{REPLACED}' when ends = broken then 'worker' else '{LATE}' end as outcome from y"""
+
+
+def settle_within(d):
+    """A promise's value if it is kept within the limit, else what stands in for it; a broken one counts as not kept."""
+    return f"select event_id as id, case when event_type <> 'error' and value <= 20 then event_type else 'fallback' end as settled, least(value, 20.0) as waited from {d.t('events')}"
+
+
+def result_blob(d):
+    """Where an item's result comes from: what it holds, what is stored for it, or the error that it is gone."""
+    return f"with {items(d)}, st as (select id from it where persisted and id % 5 <> 0) select it.id, case when has_blob then 'held' when persisted and st.id is not null then 'stored' else concat(name, ' 的结果已被浏览器清理，请重新处理') end as source from it left join st on st.id = it.id where status in ('done', 'unchanged')"
+
+
 def thread_policy(d):
     return f"""with p as (select event_id as id, event_id % 2 = 0 as isolated, case when event_id % 5 = 0 then null else event_id % 9 end as hw, case when event_id % 3 = 0 then null else event_id % 4 end as cap from {d.t('events')}),
     c as (select *, case when isolated then least(4, case when coalesce(hw, 0) = 0 then 2 else hw end) else 1 end as ceiling from p)
@@ -386,7 +416,7 @@ QUERIES = {f.__name__: f for f in (
     zip_layout, dos_datetime, batch_admission, batch_bytes, batch_totals, queue_summary, capacity_check, result_upsert, result_delete, restore_results,
     last_result, batch_explode, passthrough_bytes, crc32, session_poison, slow_switch, range_check, timing_ewma, batch_estimate, stratified_sample, parity_diff, parity_negatives, parity_fixtures,
     manifest_except, result_load, storage_summary, cache_presentation, chunk_offsets, chunk_split, chunk_cache_key, cache_coverage, cache_evict, runtime_ready, source_order, chunk_retry_fold, oom_retry_fold,
-    thread_policy,
+    thread_policy, inference_outcome, settle_within, result_blob,
 )}
 #: DuckDB has no CRC-32.
 NO_SQL = ("crc32",)
