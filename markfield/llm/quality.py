@@ -164,7 +164,7 @@ def pools(stats: DataFrame, least: int = LEAST) -> DataFrame:
     enter) of every group of stats (lang, source)."""
     pool = _POOL.replace(f">= {LEAST}", f">= {least}")
     groups = cut(stats.groupBy("lang", "source").agg(F.count("*").alias("n")), FILES)
-    langs = cut(groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest")), FILES)
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("smallest"))
     everything = bool(langs.where(F.col("n_lang") < least).limit(1).collect())
     feeds = f"array(case when n >= {least} then {OWN} end, case when n_lang >= {least} and smallest < {least} then {LANG} end, {ALL if everything else 'null'})"
     return groups.join(langs, "lang").selectExpr("lang", "source", f"{pool} as pool", f"array_compact({feeds}) as feeds")
@@ -225,7 +225,7 @@ def judged(stats: DataFrame, least: int = LEAST) -> DataFrame:
     """quality_statistics with d2 (null where a base rule fails and no document of its group passes) and kept.  `stats` is
     read several times."""
     good = stats.where("not base_failed").select("lang", "source", *STATS)
-    known = cut(pools(good, least), FILES)
+    known = pools(good, least)
     params = mcd(cut(good.join(known, ["lang", "source"]).select(F.explode("feeds").alias("pool"), *STATS)))
     told = cut(known.select("lang", "source", "pool").join(params, "pool").drop("pool"), FILES)  # a few numbers a group
     joined = _levels(stats.join(told, ["lang", "source"], "left"), [[x] for x in _distance()])

@@ -38,7 +38,8 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     (each file costs a round of the file system)."""
     spark = df.sparkSession
     path = new_folder(spark)
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    out = (df if files is None else df.coalesce(files)).write
+    out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the write's return says so
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
