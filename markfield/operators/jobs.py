@@ -291,7 +291,7 @@ def chunk_split(d, part: int = 16384):
 
 
 def chunk_cache_key(d):
-    return f"with {chunks(d)} select file, idx, concat('models/', cast(file as varchar(20)), '/lama.part.', lpad(cast(idx as varchar(20)), 3, '0'), '.bin') as key, {d.replace('''concat('https://host/a/', cast(file as varchar(20)), '?v=', cast(idx as varchar(20)))''', '[?].*$', '')} as url from ch"
+    return f"with {chunks(d)} select file, idx, concat('models/', cast(file as varchar(20)), '/model.part.', lpad(cast(idx as varchar(20)), 3, '0'), '.bin') as key, {d.replace('''concat('https://host/a/', cast(file as varchar(20)), '?v=', cast(idx as varchar(20)))''', '[?].*$', '')} as url from ch"
 
 
 def cached(d) -> str:
