@@ -142,9 +142,9 @@ _ACCEPTED = f"d2 <= {CUTOFF * WEIGHT_FACTOR:.6f}e0"
 
 
 def _levels(df: DataFrame, levels: list[list[str]]) -> DataFrame:
-    for level in levels:
-        df = df.selectExpr("*", *level)
-    return df
+    """df with the columns of all levels; each level uses those before it (as aliases of the same selection, so that the
+    plan is analysed once and not once a level)."""
+    return df.selectExpr("*", *(x for level in levels for x in level))
 
 
 def _reached(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
