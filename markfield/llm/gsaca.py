@@ -2,16 +2,16 @@
 descending order with previous-smaller pointers, then each group's order is emitted.  No recursion, no renaming.
 
 Many texts are sorted at once, in step: every step takes the highest group left of every text, so the work of a step is
-on arrays.  Texts of over LONG characters, of which there are too few for that, go one by one.  Groups are intervals of
-one array; a suffix's group is named by the interval's first place, so comparing names compares groups, and splitting off
+on arrays.  Texts that are too long for their number (over LONG characters for each of them) go one by one.  Groups are
+intervals of one array; a suffix's group is named by the interval's first place, so comparing names compares groups, and splitting off
 the upper part of an interval keeps all other names."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Characters beyond which a text is sorted by itself, and of the texts that are sorted in step.
-LONG, STEP = 8192, 1 << 19
+#: Characters a text of those in step beyond which texts go one by one, and of all that are sorted in step.
+LONG, STEP = 700, 1 << 19
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -28,13 +28,13 @@ def suffix_arrays(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     ends = np.asarray(ends, np.int64)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
     size = ends - begins
-    for t in np.flatnonzero(size > LONG):
-        out[begins[t] : ends[t]] = np.array(one_suffix_array(codes[begins[t] : ends[t]].tolist()), np.int64) + begins[t]
-    short = np.flatnonzero(size <= LONG)
-    short = short[np.argsort(size[short], kind="stable")]  # texts of like size end together
-    cuts = np.flatnonzero(np.diff(np.cumsum(size[short]) // STEP)) + 1
-    for some in np.split(short, cuts):
-        if len(some):
+    order = np.argsort(size, kind="stable")  # texts of like size end together
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // STEP)) + 1
+    for some in np.split(order, cuts) if len(order) else []:
+        if size[some[-1]] > LONG * len(some):
+            for t in some:
+                out[begins[t] : ends[t]] = np.array(one_suffix_array(codes[begins[t] : ends[t]].tolist()), np.int64) + begins[t]
+        else:
             places = ranges(begins[some], size[some])
             out[places] = places[_in_step(codes[places], np.cumsum(size[some]))]
     return out

@@ -286,11 +286,14 @@ def least_documents(flat: np.ndarray, ends: np.ndarray, groups: np.ndarray, doc:
     order, text = sa[keep], text[keep]
     if not len(order):
         return order, order
+    # Neighbours with different hashes are different; those with equal ones are compared.
+    h = gram_hashes(flat, length)[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
     windows = np.lib.stride_tricks.sliding_window_view(flat, length)
-    new = np.concatenate([[True], text[1:] != text[:-1]])
-    for at in range(0, len(order) - 1, 1 << 18):  # bounded memory
-        x, y = order[at : at + (1 << 18)], order[at + 1 : at + 1 + (1 << 18)]
-        new[at + 1 : at + 1 + len(y)] |= (windows[x[: len(y)]] != windows[y]).any(1)
+    same = np.flatnonzero(~new)
+    for at in range(0, len(same), 1 << 18):  # bounded memory
+        x = same[at : at + (1 << 18)]
+        new[x] = (windows[order[x]] != windows[order[x - 1]]).any(1)
     first = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(doc[of[order]], first), np.diff(np.append(first, len(order))))
     by_place = np.argsort(order)
@@ -317,10 +320,15 @@ def _resolve(buckets: int):
             return pa.Table.from_batches([_batch([])])
         smallest = np.full(len(known), NO_ID, np.int64)
         np.minimum.at(smallest, own, doc)
+        # Groups by their size, so that those of like size are sorted in step.
         texts = [x for _, x in known]
-        stops = np.cumsum([len(x) + 1 for x in texts]) - 1
-        keys = np.array([k for k, _ in known], np.uint64)
-        groups = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1)
+        size, keys = np.array([len(x) + 1 for x in texts]), np.array([k for k, _ in known], np.uint64)
+        group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+        order = np.lexsort((group, np.bincount(group, size)[group]))
+        texts, smallest, size, group = [texts[i] for i in order.tolist()], smallest[order], size[order], group[order]
+        own = np.argsort(order)[own]
+        stops = np.cumsum(size) - 1
+        groups = np.append(np.flatnonzero(group[1:] != group[:-1]), len(group) - 1)
         found, at = [], 0  # a few groups at a time: bounded memory
         for some in np.split(groups, np.flatnonzero(np.diff(stops[groups] // CHUNK)) + 1):
             end = some[-1] + 1
