@@ -22,6 +22,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import threading
+import time
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -32,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markfield.llm.shared import cut, table, text_or_empty
+from markfield.llm.shared import cut, give_back, table, text_or_empty
 
 CAPACITY, NODES, STATES = 2048, 2000, 500
 #: Pieces of a part of a length, and parts beyond one a length.
 SHARE, PARTS = 1 << 18, 1 << 16
 #: Entries of a worker's cache of words; beyond it the cache starts anew.  Longer chunks are not remembered.
-CACHE, REMEMBER = 500_000, 64
+CACHE, REMEMBER, IDLE = 500_000, 64, 4.0
 #: Characters that Python takes for white space and the tokenizer may not, or that may be white space to it alone, and
 #: the beginning of special tokens: such texts go to the tokenizer whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
@@ -66,6 +68,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), cache
+        self.used = time.monotonic()
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.model, self.letters = self.tok.model, byte_letters()
@@ -94,6 +97,7 @@ class WordTokenizer:
         return found
 
     def encode(self, text: str) -> bytes:
+        self.used = time.monotonic()
         if _ODD.search(text):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         chunks = text.split()
@@ -109,8 +113,19 @@ class WordTokenizer:
 
 @cache
 def _tokenizer(path: str) -> WordTokenizer:
-    """One a worker process, for all its tasks."""
-    return WordTokenizer(path)
+    """One a worker process, for all its tasks; what it remembers goes when no text has come for IDLE seconds."""
+    tok = WordTokenizer(path)
+
+    def forget() -> None:
+        while True:
+            time.sleep(IDLE / 2)
+            if tok.cache and time.monotonic() - tok.used > IDLE:
+                tok.cache.clear()
+                tok.words.clear()
+                give_back()
+
+    threading.Thread(target=forget, daemon=True).start()
+    return tok
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

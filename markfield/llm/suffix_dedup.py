@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfield.llm.gsaca import ranges, suffix_arrays
-from markfield.llm.shared import cut, importable, table, text_or_empty
+from markfield.llm.shared import cut, give_back, importable, table, text_or_empty
 
 LENGTH, GRAM, HOT = 50, 20, 50_000
 #: Bytes of contexts whose suffix arrays are made together (more only if one anchor has more).
@@ -338,6 +338,7 @@ def _resolve(buckets: int):
             found.append((p + origin, q))
             at = end
         place, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        give_back()
         # A context's windows: with every document greater than the window's least they go; runs of them are ranges.
         of = np.searchsorted(stops, place)
         rows = np.argsort(own, kind="stable")
@@ -367,6 +368,7 @@ def _resolve(buckets: int):
 def _finish(length: int, text_too: bool, once: bool):
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         have = _Documents(docs, told)
+        give_back()  # what unpacking took
         out: list[list] = [[] for _ in range(7)]
         seen: set[tuple[int, bytes]] = set()
         for k, doc in enumerate(have.doc):
