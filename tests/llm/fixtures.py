@@ -1,7 +1,7 @@
 """Rows that operators on documents have to stand: nulls, empty and very long texts, ties, repeated rows, other columns."""
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-LONG = " ".join(f"word{i % 997} stop" for i in range(20000))
+LONG = " ".join(f"word{i % 997} stop" for i in range(4000))
 #: Names that operators use for columns of their own.
 CLASHING = ("m", "d", "h", "b", "r", "x", "p", "kept", "fp", "node", "start", "salt", "pool", "k", "c", "line", "leaf", "at", "base_failed", "x1")
 
