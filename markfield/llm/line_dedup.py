@@ -4,12 +4,13 @@ Lines are split at single spaces; tokens with a digit are variable fields and be
 fields stays as it is).  The tree has a fixed depth: token count, then the first DEPTH tokens; a leaf holds the lines
 that agree in these.  Lines of under MIN_TOKENS tokens are leaves of their own, as they are.
 
-A leaf is divided into groups of similar lines.  Its first template has at each position the token that most of its
-distinct lines have; lines that agree with it at SIMILARITY (four fifths) of their positions or more belong to it, so that the positions
-where they differ are variable as well.  Lines that do not are compared among each other: a line with at most k of n
-positions different shares one of the k + 1 segments of the positions after the leading ones, so a line is compared with
-the first line (by digest) of each of its segments, joins it at SIMILARITY, and groups are what such links connect.  A
-segment's lines are only aggregated by min, never paired.  Other lines are templates of their own.
+A leaf is divided into groups of similar lines, the components of all its links.  Lines that agree with the leaf's first
+template at SIMILARITY (four fifths) of their positions or more are linked through it; the template has at each position
+the token that most of the leaf's distinct lines have.  Besides, any two lines of a leaf that agree at SIMILARITY of their
+positions are linked.  Two lines with at most k of n positions different share one of the k + 1 segments of the positions
+after the leading ones.  A first round compares a segment's lines with its first line (by digest) only; what that joins is
+one part, and the last round compares all lines of different parts that share a segment, so a large group is not paired
+within itself and no link is lost.  Lines without a link are templates of their own.
 
 A template that two documents have recurs: its lines stay in the document with the smallest doc_id and are dropped
 everywhere else.  Only hashes of lines are shuffled; the texts of one line for each distinct content are fetched for leaves
@@ -72,8 +73,13 @@ def _same(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def _similar(picked: DataFrame) -> DataFrame:
-    """m long, key long (a line of its group) of the contents (m, leaf, tokens) that are alike some other."""
+def _alike(a: str, b: str) -> Column:
+    """Whether two lists of tokens of one length agree at SIMILARITY of their positions."""
+    return _same(F.col(a), F.col(b)) >= F.size(a) - F.floor(F.size(a) / 5)
+
+
+def _segments(told: DataFrame) -> DataFrame:
+    """m, o (the line's digest), part, s (a segment's hash) of the segments that several parts have."""
     n = F.size("tokens")
     k = F.floor(n / 5).cast("int")  # positions that may differ
     rest = F.slice("tokens", DEPTH + 1, n)
@@ -82,26 +88,44 @@ def _similar(picked: DataFrame) -> DataFrame:
         a, b = (F.floor(x * (n - DEPTH) / (k + 1)).cast("int") for x in (i, i + 1))
         return F.xxhash64("leaf", i, F.array_join(F.slice(rest, a + 1, b - a), " "))
 
-    segments = picked.select("m", F.md5(F.array_join("tokens", " ")).alias("o"), F.explode(F.transform(F.sequence(F.lit(0), k), segment)).alias("s"))
-    first = segments.groupBy("s").agg(F.min(F.struct("o", "m")).alias("f"), F.max("o").alias("l")).where("f.o < l").select("s", F.col("f.m").alias("head"))
-    pairs = segments.join(first, "s").where("m != head").select("m", "head").distinct()
-    told = picked.select("m", "tokens")
-    both = pairs.join(told, "m").join(told.withColumnsRenamed({"m": "head", "tokens": "other"}), "head")
-    links = both.where(_same(F.col("tokens"), F.col("other")) >= F.size("tokens") - F.floor(F.size("tokens") / 5))
-    return components(links.select(F.col("m").alias("u"), F.col("head").alias("v"))).select(F.col("node").alias("m"), F.col("component").alias("key"))
+    each = told.select("m", F.md5(F.array_join("tokens", " ")).alias("o"), "part", F.explode(F.transform(F.sequence(F.lit(0), k), segment)).alias("s"))
+    return _of_several(cut(each))
+
+
+def _of_several(segments: DataFrame) -> DataFrame:
+    return segments.join(segments.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("s"), "s", "left_semi")
+
+
+def _similar(told: DataFrame) -> DataFrame:
+    """part long, key long (a part of its group) of the parts that are linked with some other.  told: m, leaf, tokens, part
+    (lines that are known to be of one group) of the contents of leaves with several parts."""
+    segments = cut(_segments(told))
+    tokens = told.select("m", "tokens")
+    first = segments.groupBy("s").agg(F.min(F.struct("o", "m", "part")).alias("f")).select("s", F.col("f.m").alias("head"), F.col("f.part").alias("other_part"))
+    pairs = segments.join(first, "s").where("part != other_part").select("m", "head", "part", "other_part").distinct()
+    both = pairs.join(tokens, "m").join(tokens.withColumnsRenamed({"m": "head", "tokens": "other"}), "head")
+    found = cut(both.where(_alike("tokens", "other")).select(F.col("part").alias("u"), F.col("other_part").alias("v")).distinct())
+    joined = components(found).withColumnsRenamed({"node": "part", "component": "c__"})
+    rest = segments.join(joined, "part", "left").select("m", F.coalesce("c__", "part").alias("part"), "s")
+    rest = cut(_of_several(cut(rest)).join(tokens, "m"))
+    other = rest.select("s", F.col("m").alias("m2"), F.col("part").alias("part2"), F.col("tokens").alias("other"))
+    last = rest.join(other, "s").where((F.col("part") < F.col("part2")) & _alike("tokens", "other")).select(F.col("part").alias("u"), F.col("part2").alias("v"))
+    return components(found.unionByName(last.distinct())).withColumnsRenamed({"node": "part", "component": "key"})
 
 
 def templates(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """m long, g boolean, key long: the template (a leaf's first one if g, else a group of similar lines) of the line
-    contents that share one with others.  contents: m, leaf, d, h, at (one place of each) of leaves with several."""
+    """m long, key long (a line content of its group) of the line contents that share a group with others.  contents: m,
+    leaf, d, h, at (one place of each) of leaves with several."""
     picked = cut(contents_of(docs, contents))
     votes = picked.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.count("*").alias("n"))
     modal = votes.groupBy("leaf", "i").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("best"))
     template = modal.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", F.col("best.token").alias("token")))).alias("t"))
-    agree = _same(F.col("tokens"), F.transform("t", lambda x: x["token"])) >= F.size("tokens") - F.floor(F.size("tokens") / 5)
-    told = cut(picked.join(template, "leaf").select("m", "leaf", agree.alias("g"), F.when(~agree, F.col("tokens")).alias("tokens")))
-    alike = _similar(told.where("not g").select("m", "leaf", "tokens"))
-    return told.where("g").select("m", "g", F.col("leaf").alias("key")).unionByName(alike.withColumn("g", F.lit(False)))
+    agree = picked.join(template.select("leaf", F.transform("t", lambda x: x["token"]).alias("t")), "leaf").select("m", "leaf", "tokens", _alike("tokens", "t").alias("g"))
+    agree = cut(agree)
+    hubs = agree.groupBy("leaf").agg(F.min(F.when(F.col("g"), F.col("m"))).alias("hub"), F.count_if(~F.col("g")).alias("others"))
+    told = cut(agree.join(hubs, "leaf").select("m", "leaf", "tokens", "others", F.when(F.col("g"), F.col("hub")).otherwise(F.col("m")).alias("part")))
+    alike = _similar(told.where("others > 0").select("m", "leaf", "tokens", "part"))
+    return told.join(alike, "part", "left").select("m", F.coalesce("key", "part").alias("key"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -111,10 +135,9 @@ def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
     several = contents.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     shared = templates(docs, contents.join(several, "leaf").select("m", "leaf", "place.*"))
-    keyed = contents.join(shared, "m", "left").select("m", "first", "last", F.coalesce("g", F.lit(False)).alias("g"), F.coalesce("key", "m").alias("key"))
-    keyed = cut(keyed)
-    spread = keyed.groupBy("g", "key").agg(F.min("first").alias("f"), F.max("last").alias("l")).where("f < l")
-    return keyed.join(spread, ["g", "key"]).select("m", F.col("f").alias("first"))
+    keyed = cut(contents.join(shared, "m", "left").select("m", "first", "last", F.coalesce("key", "m").alias("key")))
+    spread = keyed.groupBy("key").agg(F.min("first").alias("f"), F.max("last").alias("l")).where("f < l")
+    return keyed.join(spread, "key").select("m", F.col("f").alias("first"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -154,14 +177,12 @@ leaf as materialized (select *, len(t) || ' ' || array_to_string(t[1:{DEPTH}], '
 votes as (select leaf, i, token, count(*) as n from (select leaf, unnest(t) as token, unnest(range(len(t))) as i from leaf where leaf in (select leaf from leaf group by leaf having count(*) > 1)) group by all),
 modal as (select leaf, i, token as best from votes qualify row_number() over (partition by leaf, i order by n desc, token) = 1),
 same as (select m, count(*) filter (token = best) as n from (select m, leaf, unnest(t) as token, unnest(range(len(t))) as i from leaf) join modal using (leaf, i) group by m),
-other as materialized (select leaf.* from leaf join same using (m) where same.n < need),
-seg as materialized (select m, md5(m) as o, leaf, i, array_to_string(t[{DEPTH} + 1 + i * (len(t) - {DEPTH}) // (len(t) // 5 + 1) : {DEPTH} + (i + 1) * (len(t) - {DEPTH}) // (len(t) // 5 + 1)], ' ') as s from (select *, unnest(range(len(t) // 5 + 1)) as i from other)),
-head as (select leaf, i, s, arg_min(m, o) as head from seg group by leaf, i, s having count(*) > 1),
-link as materialized (select distinct a.m as u, a.head as v from (select distinct seg.m, head.head from seg join head using (leaf, i, s) where seg.m <> head.head) a join other x on x.m = a.m join other y on y.m = a.head where len(list_filter(list_zip(x.t, y.t), lambda z: z[1] = z[2])) >= x.need),
+part as materialized (select leaf.*, case when same.n >= need then 'leaf ' || leaf else 'line ' || m end as part from leaf join same using (m)),
+link as materialized (select distinct x.part as u, y.part as v from part x join part y on x.leaf = y.leaf and x.part < y.part and len(list_filter(list_zip(x.t, y.t), lambda z: z[1] = z[2])) >= x.need),
 both_ as materialized (select u, v from link union select v, u from link),
 reach(m, k) as (select u, u from both_ union select both_.v, reach.k from reach join both_ on both_.u = reach.m),
 alike as (select m, min(k) as k from reach group by m),
-keyed as materialized (select c.m, c.first, c.last, case when same.n >= need then 'leaf ' || leaf.leaf when alike.k is not null then 'like ' || alike.k else 'line ' || c.m end as key from c left join leaf using (m) left join same using (m) left join alike using (m)),
+keyed as materialized (select c.m, c.first, c.last, coalesce(alike.k, part.part, 'line ' || c.m) as key from c left join part using (m) left join alike on alike.m = part.part),
 spread as (select key, min(first) as f, max(last) as z from keyed group by all having min(first) < max(last)),
 rec as (select m, f from keyed join spread using (key)),
 gone as materialized (select r, place from l join rec using (m) where d > f),

@@ -37,3 +37,31 @@ def test_odd_rows_as_the_sql_has_them(spark, same_as_sql, odd_dir):
     assert same_as_sql(line_dedup.op1_line_dedup(spark, odd_dir), line_dedup.OP1_SQL, odd_dir) > 200
     out = line_dedup.dedup_lines(spark.read.parquet(f"{SMALL}/documents.parquet").limit(0))
     assert out.count() == 0
+
+
+def test_no_link_of_a_leaf_is_lost(spark):
+    # Lines in a chain, each like the next one only: whatever line comes first in a segment, all are one group.
+    words = "it was then that".split() + [f"a{x}" for x in "bcdefghijklmnopqrs"]
+    chain = [words]
+    for i in range(4, 20):
+        chain.append([*chain[-1][:i], "z" * (i - 2), *chain[-1][i + 1 :]])
+    far = [" ".join(x) for x in chain[::4]]  # four positions differ: a fifth of 22, rounded down
+    assert kept(spark, list(enumerate(far))) == {0: far[0]} | dict.fromkeys(range(1, len(far)), "")
+
+
+def test_groups_are_the_components_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    lines = sorted({" ".join(["so", "it", "is", *(rng.choice("pq" if i % 2 else "rstu") for i in range(9))]) for _ in range(160)})
+    tokens = [x.split(" ") for x in lines]
+    modal = [min(set(c), key=lambda t: (-c.count(t), t)) for c in zip(*tokens, strict=True)]
+    near = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= 12 - 2
+    label = list(range(len(lines)))
+    for i, a in enumerate(tokens):
+        for j, b in enumerate(tokens[:i]):
+            if label[i] != label[j] and (near(a, b) or (near(a, modal) and near(b, modal))):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {i for i in range(len(lines)) if label.index(label[i]) == i}
+    assert 1 < len(want) < len(lines) // 2
+    assert {i for i, t in kept(spark, list(enumerate(lines))).items() if t} == want
