@@ -2,10 +2,10 @@
 
 Every assistant turn becomes an example of its own, a row: the formatted text of all turns before it as context and of
 itself, of which only its reply is trainable (the loss mask is loss_start and loss_length).  The expansion is quadratic in
-a conversation's turns by its nature.  Conversations of up to SEGMENT formatted characters are expanded whole; a longer one
-is split between examples into segments of about that size, and an example's row then holds its segment up to itself:
-`skipped` characters, which are the text of the rows that close the segments before, precede it.  So rows stay bounded
-and the output linear, and nothing is left out.  Rows are made from a conversation's own row and are not shuffled.
+a conversation's turns by its nature.  The query expands every conversation whole.  A caller can have conversations of over
+`segment` formatted characters split between examples into segments of about that size (prefix_examples does so by default,
+at SEGMENT); an example's row then holds its segment up to itself only: `skipped` characters, which are the text of the
+rows that close the segments before, precede it.  Rows are made from a conversation's own row and are not shuffled.
 
 A turn is written `<|turn|>role<|body|>text<|end|>`.  Control strings inside roles and texts (this template's own and
 those of common templates) get a backslash after their first character, and a string that already looks like that
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from markfield.llm.shared import let, table
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-#: Formatted characters up to which a conversation is expanded whole.
-SEGMENT = 1 << 20
+#: Formatted characters up to which a conversation is expanded whole; beyond any conversation.
+SEGMENT, WHOLE = 1 << 20, 1 << 62
 #: Control strings after their first character; `<` or `[` stands before.
 _TAIL = r"/?s>|/?INST\]|\|(?:turn|body|end|im_start|im_end|endoftext|startoftext)\|>"
 ESCAPE = r"([<\[])(\\*)(" + _TAIL + ")"
@@ -106,7 +106,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         " as (turn, role, text)"
     )
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    back = read_back(prefix_examples(told))
+    back = read_back(prefix_examples(told, segment=WHOLE))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from conftest import SMALL
 
 from markfield.llm import chat
 
@@ -66,3 +67,20 @@ def test_long_conversation_and_empty(spark):
     assert (len(r.turns), r.n_examples, r.formatted_chars) == (4000, 2000, 4000 * (300 + 23) + 2000 * (4 + 9))
     assert r.example_chars < 2000 * ((1 << 16) + 1000)
     assert chat.read_back(chat.prefix_examples(long.limit(0))).count() == 0
+
+
+def test_long_conversations_are_expanded_whole(spark, same_as_sql, tmp_path):
+    import os
+
+    for name in os.listdir(SMALL):
+        if name != "conversations.parquet":
+            (tmp_path / name).symlink_to(f"{SMALL}/{name}")
+    told = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    long = spark.range(80).selectExpr("9000001L as conv_id", "id as turn", "case when id % 2 = 1 then 'assistant' else 'user' end as role", "repeat('word ', 4000) as text")
+    made = tmp_path / "made"
+    told.unionByName(long.select(*(long[c].cast(told.schema[c].dataType) for c in told.columns))).coalesce(1).write.parquet(str(made))
+    next(made.glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    out = chat.op2_chat_formatting(spark, str(tmp_path))
+    assert same_as_sql(out, chat.OP2_SQL, str(tmp_path)) > 2
+    r = out.where("conv_id = 9000001").first()
+    assert r.formatted_chars > chat.SEGMENT and r.example_chars > 20 * chat.SEGMENT
