@@ -155,6 +155,11 @@ def overlap_suppress(d):
 
 
 def region_union(d):
+    if d.name == "spark":  # `not in` would broadcast all found images; the same, nulls included, as a join that can be dealt out
+        return f"""with {candidates(d)}, found as (select img from c where kind in (0, 1) and shape > 0.5)
+        select img, ord, 'alpha' as source, contrast from c where kind = 0 and shape > 0.5 union all select img, ord, 'rule', contrast from c where kind = 1 and shape > 0.5
+        union all select img, ord, 'text', contrast from (select /*+ merge(found) */ c.img, c.ord, c.contrast from c left anti join found on c.img = found.img where kind = 2) s
+          where (select count(*) from found) = 0 or (img is not null and (select count(*) from found where img is null) = 0)"""
     return f"""with {candidates(d)} select img, ord, 'alpha' as source, contrast from c where kind = 0 and shape > 0.5 union all select img, ord, 'rule', contrast from c where kind = 1 and shape > 0.5
     union all select img, ord, 'text', contrast from c where kind = 2 and img not in (select img from c where kind in (0, 1) and shape > 0.5)"""
 

@@ -1,10 +1,12 @@
 """Every declared operator agrees with DuckDB on the small tables; branches are really taken."""
 
+import os
 import zipfile
 from io import BytesIO
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from markfield.functions.dialect import jsround, pearson, reflect
 from markfield.plans import catalogue
@@ -58,3 +60,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_region_union_is_dealt_out(spark, same_as_sql, tmp_path):
+    out = catalogue.QUERIES["region_union"](spark, SMALL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull((img" not in plan  # no null-aware join, which is a broadcast whatever the size
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    line = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    null = line.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_orderkey")))
+    texts = null.where("l_linenumber % 3 = 2 or l_partkey % 1000 <= 500")  # none is found elsewhere
+    known = line.unionByName(null.where("l_linenumber % 3 = 2"))  # images unknown, but not of what is found
+    for i, rows in enumerate((null, texts, known)):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        for name in os.listdir(SMALL):
+            if name != "lineitem.parquet":
+                (folder / name).symlink_to(f"{SMALL}/{name}")
+        rows.coalesce(1).write.parquet(str(folder / "made"))
+        next((folder / "made").glob("*.parquet")).rename(folder / "lineitem.parquet")
+        same_as_sql(catalogue.QUERIES["region_union"](spark, str(folder)), catalogue.SQL["region_union"], str(folder))
