@@ -217,3 +217,56 @@ def test_a_batch_is_handled_image_by_image(spark):
 def test_templates_have_a_bound(spark):
     with pytest.raises(ValueError):
         op.regions(op.sample_images(spark, SMALL), {"large": np.zeros(3 << 20)})
+
+
+def test_canny_of_a_corner():
+    for shape, low, high in (((90, 120), 40, 120), ((200, 150), 1, 900), ((64, 64), 200, 300)):
+        a = k.half_up(k.resize_area(RNG.uniform(0, 255, (9, 11)), *shape)) + RNG.integers(0, 12, shape)
+        a[5:-5, 5] += 250  # a long edge that comes from outside
+        a[-6, 5:-5] += 120
+        for y, x in ((0, 0), (40, 30), (60, 1), (63, 63)):
+            got = k.canny_corner(lambda y0, x0, a=a: a[y0:, x0:], y, x, low, high, room=4)
+            assert (got == k.canny(a, low, high)[y:, x:]).all()
+
+
+def test_large_search_is_the_small_one():
+    a, t = RNG.integers(0, 2, (80, 120)) * 255.0, RNG.integers(0, 2, (40, 60)) * 255
+    a[20:60, 31:91] = np.where(RNG.uniform(size=t.shape) < 0.7, t, a[20:60, 31:91])
+    score = k.slide(a, t - t.mean())
+    places = [(y, x) for y in range(score.shape[0]) for x in range(score.shape[1])]
+    want = max(places, key=lambda p: round(k.pearson(a[p[0] : p[0] + 40, p[1] : p[1] + 60], t), 12))
+    assert score.size * t.size > 1 << 20 and k.ncc(a, t)[:0:-1] == want == (20, 31)
+    assert k.ncc(np.full((80, 120), 7.0), t) == (0.0, 0, 0)
+
+
+def plain_gemini(image):
+    """Every layout and offset, one after another."""
+    best, luma = None, k.luma_of(image.rgb)
+    for size, margin, radius, step in det.LAYOUTS:
+        x, y = image.width - margin - size, image.height - margin - size
+        if size >= image.short or x < 0 or y < 0:
+            continue
+        t = TEMPLATES[f"gemini_{size}"]
+        for px in range(x - radius, x + radius + 1, step):
+            for py in range(y - radius, y + radius + 1, step):
+                if px >= 0 and py >= 0 and px + size <= image.width and py + size <= image.height:
+                    patch = luma[py : py + size, px : px + size]
+                    s, g = k.pearson(patch, t), k.pearson(k.edge_magnitude(patch), k.edge_magnitude(t))
+                    score = s + 0.8 * max(0.0, g)
+                    rank = (det.gemini_holds(size, margin, score, s, g), score)
+                    if best is None or rank > best[0]:
+                        best = rank, px, py, size, s, g
+    return best
+
+
+def test_gemini_over_all_offsets(monkeypatch):
+    noise = det.Image(RNG.integers(0, 256, (160, 200, 3)).astype(np.uint8))
+    flat = det.Image(np.full((160, 170, 3), 90, np.uint8))
+    for image in (image_with(5, 1), image_with(6, 2), image_with(0, 3), noise, flat):
+        (holds, score), px, py, size, s, g = plain_gemini(image)
+        got = det.gemini(image, TEMPLATES)
+        assert (got["found"], got["x"], got["y"], got["size"], got["score"], got["spatial"], got["gradient"]) == (holds, px, py, size, score, s, g)
+    calls, real = [], k.edge_magnitude
+    monkeypatch.setattr(k, "edge_magnitude", lambda a: calls.append(1) or real(a))
+    det.gemini(image_with(5, 1), TEMPLATES)
+    assert len(calls) < 40  # two for each of 459 offsets before
