@@ -270,3 +270,8 @@ def test_gemini_over_all_offsets(monkeypatch):
     monkeypatch.setattr(k, "edge_magnitude", lambda a: calls.append(1) or real(a))
     det.gemini(image_with(5, 1), TEMPLATES)
     assert len(calls) < 40  # two for each of 459 offsets before
+
+
+def test_one_file_of_vectors_is_dealt_over_tasks(spark):
+    images = op.sample_images(spark, SMALL)
+    assert images.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
