@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markfield.llm.shared import cut
+from markfield.llm.shared import cut, dealt
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
         files = max(8, n // 250_000)  # rounds make hardly more pairs
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, files)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(dealt(low, n), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = cut(small.select("e.u", "e.v").where("u != v").distinct(), files)
         before, n = n, new.count()
         # Both are sets, so they are equal if they have as many pairs and none of the new ones is new.
-        same = n == before and not new.join(pairs, ["u", "v"], "left_anti").limit(1).collect()
+        same = n == before and not new.join(dealt(pairs, n), ["u", "v"], "left_anti").limit(1).collect()
         pairs = new
         if same:
             break

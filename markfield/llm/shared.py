@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of numbers up to which Spark may broadcast it.
+BROADCAST = 100_000
 #: The white space that separates words in the contracts of operators 4 and 6.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -55,6 +57,12 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """df for joins that n rows, or about as many, go into: beyond BROADCAST rows both sides are dealt out, as Spark goes by the
+    size of files and would build tables of millions of numbers on the driver."""
+    return df.hint("merge") if n > BROADCAST else df
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that are started from now on import this package from where the driver has it (where it is
     shipped or installed, this changes nothing)."""

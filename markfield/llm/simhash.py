@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfield.llm.components import components
-from markfield.llm.shared import cut, table, text_or_empty
+from markfield.llm.shared import cut, dealt, table, text_or_empty
 
 SEGMENTS, BLOCK = 32, 2048
 
@@ -166,17 +166,17 @@ def links(nodes: DataFrame, distance: int = 4, n: int | None = None) -> DataFram
     n = nodes.count() if n is None else n
     cells = _cells(nodes, distance, groups_for(n, distance))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    cells = cells.join(sizes, "cell")
+    cells = cells.join(dealt(sizes, n), "cell")
     k = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), k).cast("int")
     # A cell of k blocks: its group (a, b) with a <= b holds the blocks a and b; of one block: the group (0, 0).
-    dealt = cells.select(
+    blocks = cells.select(
         "cell", "node", "fp",
         F.when(k == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
             F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.struct(F.least(own, x).alias("a"), F.greatest(own, x).alias("b")))
         ).alias("g"),
     )
-    dealt = dealt.select("cell", "node", "fp", F.explode("g").alias("g")).select("cell", "g.a", "g.b", "node", "fp")
+    blocks = blocks.select("cell", "node", "fp", F.explode("g").alias("g")).select("cell", "g.a", "g.b", "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -209,23 +209,26 @@ def links(nodes: DataFrame, distance: int = 4, n: int | None = None) -> DataFram
         if (out := flush(True)) is not None:
             yield out
 
-    return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "u long, v long")
+    return blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def labelled(fps: DataFrame, distance: int = 4) -> DataFrame:
     """fp, label long (the smallest fingerprint of its component) of every distinct fingerprint of fps (fp long)."""
     nodes = cut(fps.select("fp").distinct())
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
-    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+    n = nodes.count()
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, n))
+    return nodes.join(dealt(found.withColumnRenamed("node", "fp"), n), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp long, component_id long of every row of docs (doc_id long, text string)."""
     fps = cut(fingerprints(docs, width))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = cut(labelled(fps, distance).join(first, "fp"))
+    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    n = first.count()
+    labels = cut(labelled(first, distance).join(dealt(first, n), "fp"))
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
-    return fps.join(labels.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    labels = labels.join(dealt(least, n), "label").select("fp", "component_id")
+    return fps.join(dealt(labels, n), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:

@@ -192,3 +192,14 @@ def test_completion_is_exact():
             sums = {s + k * x for s in sums for k in range(c + 1) if s + k * x <= room}
         found = packing.completion(lengths, counts, room, 10**6)
         assert sum(lengths[i] * n for i, n in found) == max(sums) and all(n <= counts[i] for i, n in found)
+
+
+def test_simhash_broadcasts_nothing_of_size(spark, monkeypatch):
+    from markfield.llm import shared, simhash
+
+    docs = spark.createDataFrame([(i, f"one two three four {i % 7} {i % 5}") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(shared, "BROADCAST", 0)
+    out = simhash.near_duplicates(docs)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(tuple, out.collect())) == want
