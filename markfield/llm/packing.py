@@ -5,15 +5,17 @@ sequence are cut.  Whether a set of pieces can be packed into few sequences depe
 alone, and there are at most `capacity` lengths: the plan is made on that histogram, whose size does not grow with the
 corpus, and then pieces are dealt to the plan's slots by their rank within their length, without gathering them.
 
-The plan is bin completion.  Two whole packings are the first incumbents: best-fit decreasing, and a greedy one that
-takes the least-waste filling around the largest length left as often as the counts allow.  Where neither reaches the
-lower bound, branch and bound goes on over whole packings: a state is the counts that are left; its branches are the
-undominated fillings of the sequence with the largest length, once or as often as the counts allow; a state is completed
-by best-fit decreasing, and dropped if its waste and the bound of the rest cannot beat the incumbent.  Multiplicities
-make the work depend on the lengths, not on the corpus.
-
-The problem is NP-hard: NODES bounds the search for a filling and STATES the states of the whole search.  Within them the
-packing is optimal; beyond them it is the best found, and never worse than best-fit decreasing.
+The plan is bin completion.  Whole packings are the first incumbents, until one reaches the lower bound: best-fit
+decreasing, and greedy ones that take a least-waste filling around the largest length left as often as the counts allow.
+Of least-waste fillings the first greedy packing takes the one whose smallest piece is largest, so that short pieces are
+there to fill up the last sequences; it finds it exactly, from the sums that can be reached, kept as bits.  The second
+takes long pieces first.  Where none reaches the bound, branch and bound goes on over whole packings: a state is the
+counts that are left; its branches are the undominated fillings of the sequence with the largest length, once or as often
+as the counts allow; a state is completed by best-fit decreasing, and dropped if its waste and the bound of the rest
+cannot beat the incumbent.  Multiplicities make the work depend on the lengths, not on the corpus.
+
+The problem is NP-hard: NODES bounds the search for a filling (not that by sums) and STATES the states of the whole
+search.  Within them the packing is optimal; beyond them it is the best found, and never worse than best-fit decreasing.
 
 Defined cases: null text is empty and is one token, the id 0; repeated rows are packed each; a null doc_id is kept; an
 empty table gives an empty result; other columns are ignored.
@@ -26,10 +28,12 @@ import threading
 import time
 import zlib
 from array import array
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
-from functools import cache
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache, partial
+from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +41,8 @@ from pyspark.sql import functions as F
 from markfield.llm.shared import cut, give_back, table, text_or_empty
 
 CAPACITY, NODES, STATES = 2048, 2000, 500
+#: Roundings of the lengths that the lower bound tries.
+ROUNDED = 100
 #: Pieces of a part of a length, and parts beyond one a length.
 SHARE, PARTS = 1 << 18, 1 << 16
 #: Entries of a worker's cache of words; beyond it the cache starts anew.  Longer chunks are not remembered.
@@ -198,28 +204,45 @@ def completion(lengths: list[int], counts: list[int], room: int, nodes: int = NO
     return best
 
 
+def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:
+    """As completion, without a bound on the search: a filling of `room` with least waste, and of those one whose smallest
+    piece is largest.  The sums that the lengths so far can reach are the bits of a number, and the first length with which
+    the best sum is reached is in the filling; so it goes on with the rest of the sum among the lengths before."""
+    reached, steps = 1, []  # steps: index, times, sums reached before it
+    for i, (x, c) in enumerate(zip(lengths, counts, strict=True)):
+        most, times = min(c, room // x), 1
+        while most:  # 1, 2, 4 ... and the rest make up every number of times
+            times = min(times, most)
+            steps.append((i, times, reached))
+            reached |= reached << times * x & (2 << room) - 1
+            most, times = most - times, 2 * times
+        if reached >> room:
+            break
+    total, used = reached.bit_length() - 1, {}
+    for i, times, before in reversed(steps):
+        if not before >> total & 1:
+            used[i] = used.get(i, 0) + times
+            total -= times * lengths[i]
+    return list(used.items())
+
+
 Patterns = list[tuple[int, list[tuple[int, int]]]]
+Fill = Callable[[list[int], list[int], int], list[tuple[int, int]]]
 
 
-def greedy(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> Patterns:
+def greedy(lengths: list[int], counts: list[int], capacity: int, fill: Fill = completion) -> Patterns:
     """The least-waste filling around the largest length left, as often as the counts allow, until nothing is left."""
-    counts = counts.copy()
     out: Patterns = []
-    at = 0
-    while at < len(lengths):
-        if not counts[at]:
-            at += 1
-            continue
-        counts[at] -= 1
-        filling = completion(lengths[at:], counts[at:], capacity - lengths[at], nodes)
-        counts[at] += 1
-        used = {at: 1}
-        for i, times in filling:
-            used[at + i] = used.get(at + i, 0) + times
-        often = min(counts[i] // times for i, times in used.items())
-        for i, times in used.items():
-            counts[i] -= often * times
-        out.append((often, [(lengths[i], times) for i, times in used.items()]))
+    while left := [(x, c) for x, c in zip(lengths, counts, strict=True) if c]:
+        lengths, counts = [x for x, _ in left], [c for _, c in left]
+        while all(counts):
+            used = {0: 1}
+            for i, times in fill(lengths, [counts[0] - 1, *counts[1:]], capacity - lengths[0]):
+                used[i] = used.get(i, 0) + times
+            often = min(counts[i] // times for i, times in used.items())
+            for i, times in used.items():
+                counts[i] -= often * times
+            out.append((often, [(lengths[i], times) for i, times in used.items()]))
     return out
 
 
@@ -227,38 +250,53 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> Patterns:
     """Best-fit decreasing, on classes of equal sequences: as often as it fits, a length goes into those with least room."""
     open_: list[tuple[int, int, list[tuple[int, int]]]] = []  # room, sequences, items; by room
     full: Patterns = []
+
+    def put(room: int, n: int, items: list[tuple[int, int]]) -> None:
+        open_.insert(bisect_right(open_, (room, inf)), (room, n, items))
+
     for length, c in zip(lengths, counts, strict=True):
         while c:
-            k = bisect_left(open_, length, key=lambda x: x[0])
+            k = bisect_left(open_, (length,))
             room, n, items = open_.pop(k) if k < len(open_) else (capacity, c, [])
             each = min(room // length, c)
             take = min(n, c // each)
             c -= take * each
             if take < n and items:
-                insort(open_, (room, n - take, items), key=lambda x: x[0])
+                put(room, n - take, items)
             if room - each * length:
-                insort(open_, (room - each * length, take, [*items, (length, each)]), key=lambda x: x[0])
+                put(room - each * length, take, [*items, (length, each)])
             else:
                 full.append((take, [*items, (length, each)]))
     return full + [(n, items) for _, n, items in open_]
 
 
+@lru_cache(4)
+def _rounded(lengths: tuple[int, ...], capacity: int) -> np.ndarray:
+    """A row for each k up to ROUNDED: lengths in units of 1 / k of a sequence's, rounded down in (k + 1)-ths of capacity
+    where those are no whole number, so that what fits in a sequence sums up to k units at most (times capacity)."""
+    x, k = np.array(lengths, np.int64), np.arange(1, ROUNDED + 1)[:, None]
+    return np.where((k + 1) * x % capacity, (k + 1) * x // capacity * capacity, k * x)
+
+
 def sequences_needed(lengths: list[int], counts: list[int], capacity: int) -> int:
-    """Lower bound: the volume; and for every length s up to half a sequence, pieces over capacity - s have a sequence
-    each, those over half one that only their own room can fill up with pieces of s and more."""
+    """Lower bound: the volume; for every length s up to half a sequence, pieces over capacity - s have a sequence each,
+    those over half one that only their own room can fill up with pieces of s and more; and the volume of lengths rounded
+    so that no sequence holds more than one."""
     best = -(-sum(x * c for x, c in zip(lengths, counts, strict=True)) // capacity)
     left = [(x, c) for x, c in zip(lengths, counts, strict=True) if c]
     n, v = [0], [0]
     for x, c in left:
         n.append(n[-1] + c)
         v.append(v[-1] + x * c)
-    half = sum(2 * x > capacity for x, _ in left)
+    lone = half = sum(2 * x > capacity for x, _ in left)
     for i, (s, _) in enumerate([*left[half:], (0, 0)]):
-        lone = bisect_right(left, -(capacity - s) - 1, key=lambda y: -y[0])  # longer than capacity - s
+        while lone and left[lone - 1][0] <= capacity - s:  # lone: longer than capacity - s
+            lone -= 1
         free = (n[half] - n[lone]) * capacity - (v[half] - v[lone])
         small = v[half + i + 1] - v[half] if s else v[-1] - v[half]
         best = max(best, n[half] + max(0, -(-(small - free) // capacity)))
-    return best
+    units = _rounded(tuple(lengths), capacity) @ np.array(counts, np.int64)
+    return max(best, *(-(-u // (k * capacity)) for k, u in enumerate(units.tolist(), 1)))
 
 
 def fillings(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[tuple[int, dict[int, int]]]:
@@ -266,24 +304,33 @@ def fillings(lengths: list[int], counts: list[int], capacity: int, nodes: int =
     (of the first `nodes` partial ones).  Dominated: another piece still fits, or a longer one fits in place of one."""
     at = next(i for i, c in enumerate(counts) if c)
     live = [i for i in range(at, len(lengths)) if counts[i]]
+    place = {i: k for k, i in enumerate(live)}
+    falling = [-lengths[i] for i in live]
     out: list[tuple[int, dict[int, int]]] = []
     stack: list[tuple[int, int, dict[int, int]]] = [(0, capacity - lengths[at], {at: 1})]
     visited = 0
+
+    def spare(k: int, step: int, used: dict[int, int]) -> int:
+        """The length of the first piece that is not used from place k on; 0 if there is none."""
+        while 0 <= k < len(live) and used.get(live[k], 0) >= counts[live[k]]:
+            k += step
+        return lengths[live[k]] if 0 <= k < len(live) else 0
+
     while stack and visited < nodes:
         k, room, used = stack.pop()
         visited += 1
-        while k < len(live) and (lengths[live[k]] > room or used.get(live[k], 0) >= counts[live[k]]):
+        k = bisect_left(falling, -room, k)
+        while k < len(live) and used.get(live[k], 0) >= counts[live[k]]:
             k += 1
         if k < len(live):
             i = live[k]
             most = min(room // lengths[i], counts[i] - used.get(i, 0))
             stack += [(k + 1, room - t * lengths[i], used | {i: used.get(i, 0) + t} if t else used) for t in range(most + 1)]
             continue
-        spare = [i for i in live if used.get(i, 0) < counts[i]]
-        if spare and lengths[spare[-1]] <= room:
+        if 0 < spare(len(live) - 1, -1, used) <= room:
             continue
         own = used if used[at] > 1 else [i for i in used if i != at]  # the first piece is given
-        if not any(lengths[j] > lengths[i] and lengths[j] <= lengths[i] + room for i in own for j in spare):
+        if not room or not any(0 < spare(place[i] - 1, -1, used) <= lengths[i] + room for i in own):
             out.append((room, used))
     out.sort(key=lambda x: x[0])
     return out
@@ -294,8 +341,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     lengths = sorted((x for x, c in histogram.items() if c), reverse=True)
     counts = [histogram[x] for x in lengths]
     size = lambda p: sum(often for often, _ in p)
-    best = min(greedy(lengths, counts, capacity, nodes), best_fit(lengths, counts, capacity), key=size)
-    bound = sequences_needed(lengths, counts, capacity)
+    best, bound = best_fit(lengths, counts, capacity), sequences_needed(lengths, counts, capacity)
+    for fill in (fullest, partial(completion, nodes=nodes)):
+        if size(best) > bound:
+            best = min(best, greedy(lengths, counts, capacity, fill), key=size)
     seen: dict[tuple[int, ...], int] = {}
     # Sequences so far, their patterns as a chain to the parents, counts left, and a filling still to be applied.
     stack: list[tuple[int, tuple, list[int], dict[int, int], int]] = [(0, (), counts, {}, 0)]

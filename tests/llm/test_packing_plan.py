@@ -1,6 +1,7 @@
 """Whole packings against best-fit decreasing and, where small, against all packings."""
 
 import random
+from collections import Counter
 from functools import cache
 
 import pytest
@@ -72,6 +73,41 @@ def test_fewest_on_small_histograms():
     assert packing.plan({}) == []
 
 
+def test_long_histogram_is_at_the_bound_without_a_search(monkeypatch):
+    def search(*_):
+        raise AssertionError("states of the search cost the driver minutes on such histograms")
+
+    rng = random.Random(9)
+    hist = dict(Counter(min(2048, int(rng.lognormvariate(5.5, 0.5))) for _ in range(50_000)) + Counter({308: 3500}))
+    monkeypatch.setattr(packing, "fillings", search)
+    lengths = sorted(hist, reverse=True)
+    assert sequences(packing.plan(hist), hist, 2048) == packing.sequences_needed(lengths, [hist[x] for x in lengths], 2048)
+
+
+def test_fullest_keeps_short_pieces():
+    rng = random.Random(4)
+    for _ in range(300):
+        lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 6)), reverse=True)
+        counts, room = [rng.randint(0, 3) for _ in lengths], rng.randint(0, 90)
+        all_ = [()]
+        for c in counts:
+            all_ = [(*f, k) for f in all_ for k in range(c + 1)]
+        worth = lambda f: (sum(x * k for x, k in zip(lengths, f, strict=True)), min((x for x, k in zip(lengths, f, strict=True) if k), default=0))
+        found = dict(packing.fullest(lengths, counts, room))
+        assert worth([found.get(i, 0) for i in range(len(lengths))]) == max(w for w in map(worth, all_) if w[0] <= room)
+        assert all(0 < k <= counts[i] for i, k in found.items())
+
+
+def test_bound_sees_lengths_that_waste():
+    assert packing.sequences_needed(sorted(SKEWED, reverse=True), [SKEWED[x] for x in sorted(SKEWED, reverse=True)], 2048) == 210
+    assert packing.sequences_needed([308], [50_000], 2048) == 8334
+    rng = random.Random(6)
+    for _ in range(60):
+        hist = {rng.randint(3, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        lengths = sorted(hist, reverse=True)
+        assert packing.sequences_needed(lengths, [hist[x] for x in lengths], 40) <= fewest(hist, 40)
+
+
 @pytest.mark.parametrize("share", [packing.SHARE, 3, 40])
 def test_pieces_of_a_hot_length_fill_the_planned_slots(spark, share):
     rng = random.Random(5)
