@@ -7,9 +7,11 @@ import ctypes
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST = 100_000
 #: The white space that separates words in the contracts of operators 4 and 6.
 SPACE = r"[\x20\x09-\x0D]"
+#: Seconds between two returns of the driver's freed memory (each takes about a tenth of one), and when the last was.
+TRIM_S, _trimmed = 5, [float("-inf")]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +48,9 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     out = (df if files is None else df.coalesce(files)).write
     out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the write's return says so
     delete_at_exit(spark, path)
+    if time.monotonic() - _trimmed[0] >= TRIM_S:
+        give_back_driver(spark)
+        _trimmed[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +88,23 @@ def give_back() -> None:
         return
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """The same for the driver's JVM, by its own command (System.trim_native_heap; a JVM without it is left as it is).  Its
+    compiler and its hundreds of threads free native memory that the C library otherwise holds beside the heap; in long
+    chains of queries that grows to several hundred MB.  The call goes by the interface's method, as the server's class is
+    not open to reflection."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    try:
+        of = jvm.java.lang.Class.forName
+        types, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = of(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by Spark's reader only (the folder may be in a store that only Spark opens)."""
     importable(spark)
