@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markfield.llm.shared import cut, dealt
+from markfield.llm.shared import cut, dealt, settled
 
 
+@settled()
 def components(edges: DataFrame) -> DataFrame:
     """node long, component long (the smallest node of its component) for every node that has an edge.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfield.llm.components import components
-from markfield.llm.shared import cut, let, table, text_or_empty
+from markfield.llm.shared import cut, let, settled, table, text_or_empty
 
 DEPTH, MIN_TOKENS = 3, 5
 LAST = 2**63 - 1
@@ -113,6 +113,7 @@ def _similar(told: DataFrame) -> DataFrame:
     return components(found.unionByName(last.distinct())).withColumnsRenamed({"node": "part", "component": "key"})
 
 
+@settled()
 def templates(docs: DataFrame, contents: DataFrame) -> DataFrame:
     """m long, key long (a line content of its group) of the line contents that share a group with others.  contents: m,
     leaf, d, h, at (one place of each) of leaves with several."""
@@ -140,10 +141,16 @@ def recurring(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return keyed.join(spread, "key").select("m", F.col("f").alias("first"))
 
 
+@settled()
+def _dropped(docs: DataFrame) -> DataFrame:
+    """d, h long (a document), drop__ array<int>: the places of its lines that go, of documents that lose some."""
+    lines = cut(lines_of(docs))
+    return lines.join(recurring(docs, lines), "m").where("d > first").groupBy("d", "h").agg(F.collect_set("at").alias("drop__"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The columns of docs with text reduced to the kept lines, and n_lines__, n_dropped__ long."""
-    lines = cut(lines_of(docs))
-    drop = lines.join(recurring(docs, lines), "m").where("d > first").groupBy("d", "h").agg(F.collect_set("at").alias("drop__"))
+    drop = _dropped(docs)
     text = text_or_empty()
     keyed = docs.withColumns({"d__": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "h__": F.xxhash64(text)})
     joined = keyed.join(drop.withColumnsRenamed({"d": "d__", "h": "h__"}), ["d__", "h__"], "left")

@@ -7,8 +7,11 @@ import ctypes
 import os
 import shutil
 import tempfile
+import threading
 import time
 import uuid
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from py4j.protocol import Py4JError
@@ -21,6 +24,8 @@ BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]"
 #: Seconds between two returns of the driver's freed memory (each takes about a tenth of one), and when the last was.
 TRIM_S, _trimmed = 5, [float("-inf")]
+#: In each thread: for each settled call that goes on, innermost last, the folders of the tables it has cut so far.
+_calls = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,19 +46,49 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and return the written table: lineage ends there, so an executor
     that is lost later costs no recomputation, and what reads it twice does not compute it twice.  The driver's file
-    system deletes the table when the driver ends.  files: at most so many, for tables that are small beside the corpus
+    system deletes the table when the driver ends, or the settled call that it is made in does before.  files: at most so many, for tables that are small beside the corpus
     (each file costs a round of the file system)."""
     spark = df.sparkSession
     path = new_folder(spark)
     out = (df if files is None else df.coalesce(files)).write
     out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the write's return says so
     delete_at_exit(spark, path)
+    if calls := getattr(_calls, "open", None):
+        calls[-1].append(path)
     if time.monotonic() - _trimmed[0] >= TRIM_S:
+        spark._jvm.System.gc()  # Spark deletes shuffle files once the collector has found their plans unused
         give_back_driver(spark)
         _trimmed[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(files: int | None = None) -> Callable:
+    """Decorates a function that returns a DataFrame: the result is cut (files: as there), and the tables that were cut on
+    the way to it, which nothing reads any more, are deleted at once.  The function must not give tables that it has cut
+    to anything but its result."""
+
+    def decorate(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(*args, **named) -> DataFrame:
+            calls = _calls.open = getattr(_calls, "open", [])
+            calls.append([])
+            keep = 0  # of a call that fails, all is left to the outer one
+            try:
+                out = cut(f(*args, **named), files)
+                keep = len(calls[-1]) - 1
+                for path in calls[-1][:keep]:
+                    _delete(out.sparkSession, path)
+                return out
+            finally:
+                rest = calls.pop()[keep:]
+                if calls:
+                    calls[-1] += rest
+
+        return run
+
+    return decorate
+
+
 def new_folder(spark: SparkSession) -> str:
     """A name in the shared folder that nothing has yet."""
     return f"{shared_dir(spark)}/markfield-{uuid.uuid4().hex}"
@@ -64,6 +99,13 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+
+
 def dealt(df: DataFrame, n: int) -> DataFrame:
     """df for joins that n rows, or about as many, go into: beyond BROADCAST rows both sides are dealt out, as Spark goes by the
     size of files and would build tables of millions of numbers on the driver."""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfield.llm.gsaca import ranges, suffix_arrays
-from markfield.llm.shared import cut, give_back, importable, table, text_or_empty
+from markfield.llm.shared import cut, give_back, importable, settled, table, text_or_empty
 
 LENGTH, GRAM, HOT = 50, 20, 50_000
 #: Bytes of contexts whose suffix arrays are made together (more only if one anchor has more).
@@ -427,18 +427,25 @@ def dedup(docs: DataFrame, text_too: bool = False, once: bool = False, hot: int
             d = [hashlib.md5(x.as_buffer()).digest() for x in batch["text"]]
             yield pa.record_batch([batch["doc_id"], pa.array([int.from_bytes(x[:8], "big", signed=True) for x in d], pa.int64()), pa.array([int.from_bytes(x[8:], "big", signed=True) for x in d], pa.int64())], ["doc_id", "digest", "more"])
 
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, digest = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "digest"))
             yield _batch([(b, _pack(doc=doc[i], digest=digest[i])) for b, i in _split(_doc_bucket(doc, buckets))], 2)
 
-    seen = cut(docs.mapInArrow(digests, "doc_id long, digest long, more long"))
-    classes = seen.groupBy("digest", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    known = cut(seen.join(classes, ["digest", "more"]).where("doc_id > first").select("doc_id", "digest").mapInArrow(copies, PACKED))
-    shared = cut(docs.mapInArrow(_find_anchors(buckets), PACKED).groupBy("b").applyInArrow(_shared_anchors(buckets, hot), PACKED))
-    by = docs.mapInArrow(packed_docs, PACKED)
-    contexts = by.groupBy("b").cogroup(shared.unionByName(known).groupBy("b")).applyInArrow(_contexts(buckets), PACKED)
-    ranges = cut(contexts.groupBy("b").applyInArrow(_resolve(buckets), PACKED))
+    @settled()
+    def copies() -> DataFrame:
+        seen = cut(docs.mapInArrow(digests, "doc_id long, digest long, more long"))
+        classes = seen.groupBy("digest", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        return seen.join(classes, ["digest", "more"]).where("doc_id > first").select("doc_id", "digest").mapInArrow(packed_copies, PACKED)
+
+    @settled()
+    def repeated() -> DataFrame:
+        shared = cut(docs.mapInArrow(_find_anchors(buckets), PACKED).groupBy("b").applyInArrow(_shared_anchors(buckets, hot), PACKED))
+        contexts = by.groupBy("b").cogroup(shared.unionByName(known).groupBy("b")).applyInArrow(_contexts(buckets), PACKED)
+        return contexts.groupBy("b").applyInArrow(_resolve(buckets), PACKED)
+
+    known, by = copies(), docs.mapInArrow(packed_docs, PACKED)
+    ranges = repeated()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, h long"
     return by.groupBy("b").cogroup(ranges.unionByName(known).groupBy("b")).applyInArrow(_finish(LENGTH, text_too, once), schema)
 
